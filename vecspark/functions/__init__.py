@@ -1 +1,6 @@
-"""."""
+"""Column functions."""
+
+from vecspark.functions.labels import labels_contain_intersection, labels_normalize, labels_overlap
+from vecspark.functions.vector import cosine, dot, hamming, l2, l2_sq, neg_inner_product, norm, normalize, prefix, zero_vector
+
+__all__ = ["cosine", "dot", "hamming", "l2", "l2_sq", "labels_contain_intersection", "labels_normalize", "labels_overlap", "neg_inner_product", "norm", "normalize", "prefix", "zero_vector"]

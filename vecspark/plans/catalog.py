@@ -1,4 +1,403 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL. Distances are rounded to 6 digits on both sides; a zero is added so that no negative zero is left."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vecspark import sql as vector_sql
+from vecspark.functions import hamming, labels_contain_intersection, labels_normalize, labels_overlap, norm, normalize, prefix
+from vecspark.functions.vector import cosine, distance, l2, neg_inner_product
+from vecspark.operators import exact, sbq
+from vecspark.operators.index import VectorIndex
+from vecspark.options import IndexOptions, Metric
+from vecspark.runtime import checkpoint_dir
+from vecspark.sources import table, vectors_from_text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings")
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings with label sets, some null, empty or holding nulls."""
+    one, small = F.col("label").cast("smallint"), lambda c: c.cast("smallint")
+    labels = (
+        F.when(F.col("vec_id") % 17 == 0, F.lit(None).cast("array<smallint>"))
+        .when(F.col("vec_id") % 19 == 0, F.array().cast("array<smallint>"))
+        .when(F.col("vec_id") % 23 == 0, F.array(one, F.lit(None).cast("smallint")))
+        .otherwise(F.array(one, small(10 + F.col("vec_id") % 6)))
+    )
+    return _embeddings(spark, d).withColumn("labels", labels)
+
+
+def _q(df: DataFrame, vec_id: int = 7) -> list[float]:
+    return df.where(F.col("vec_id") == vec_id).first()["embedding"]
+
+
+def _r(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+_EL = """el AS (SELECT *, CASE WHEN vec_id % 17 = 0 THEN NULL WHEN vec_id % 19 = 0 THEN []::SMALLINT[] WHEN vec_id % 23 = 0 THEN [label::SMALLINT, NULL]
+  ELSE [label::SMALLINT, (10 + vec_id % 6)::SMALLINT] END AS labels FROM embeddings)"""
+_QV = "q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 7)"
+
+
+def _top(df: DataFrame, k: int = 10, **o) -> DataFrame:
+    return exact.nearest(df, _q(df), k, **o).select("vec_id", _r("distance").alias("d"))
+
+
+def _top_sql(d: str, source: str = "embeddings", where: str = "TRUE", k: int = 10, ctes: str = _QV) -> str:
+    return f"WITH {ctes} SELECT vec_id, round({d}, 6) + 0.0 AS d FROM {source}, q WHERE {where} ORDER BY {d}, vec_id LIMIT {k}"
+
+
+_COS = "greatest(0.0, list_cosine_distance(embedding::DOUBLE[], qv))"
+
+
+@query(_top_sql(_COS))
+def cosine_topk(spark, d):
+    return _top(_embeddings(spark, d))
+
+
+@query(_top_sql("list_distance(embedding::DOUBLE[], qv)"))
+def l2_topk(spark, d):
+    return _top(_embeddings(spark, d), metric=Metric.L2)
+
+
+@query(_top_sql("list_negative_inner_product(embedding::DOUBLE[], qv)"))
+def ip_topk(spark, d):
+    return _top(_embeddings(spark, d), metric=Metric.INNER_PRODUCT)
+
+
+_SCALED = "list_transform(embedding::DOUBLE[], lambda x: x * (1 + vec_id % 5))"
+
+
+@query(f"WITH {_QV} SELECT vec_id, round(list_distance({_SCALED}, qv), 6) AS l2, round(list_negative_inner_product({_SCALED}, qv), 6) + 0.0 AS ip, round(greatest(0.0, list_cosine_distance({_SCALED}, qv)), 6) + 0.0 AS cosine FROM embeddings, q")
+def metric_rescaled(spark, d):
+    e = _embeddings(spark, d)
+    q = _q(e)
+    scaled = e.withColumn("v", F.transform(F.col("embedding").cast("array<double>"), lambda x: x * (1 + F.col("vec_id") % 5)))
+    return scaled.select("vec_id", _r(l2("v", q)).alias("l2"), _r(neg_inner_product("v", q)).alias("ip"), _r(cosine("v", q)).alias("cosine"))
+
+
+@query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS n FROM embeddings")
+def vector_norm(spark, d):
+    return _embeddings(spark, d).select("vec_id", _r(norm("embedding")).alias("n"))
+
+
+@query("WITH s AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (1 + vec_id % 5)) AS v FROM embeddings) SELECT vec_id, round(v[1] / sqrt(list_inner_product(v, v)), 6) + 0.0 AS first, round(v[64] / sqrt(list_inner_product(v, v)), 6) + 0.0 AS last FROM s")
+def normalize_vectors(spark, d):
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * (1 + F.col("vec_id") % 5))
+    out = _embeddings(spark, d).select("vec_id", normalize(v).alias("u"))
+    return out.select("vec_id", _r(F.col("u")[0]).alias("first"), _r(F.col("u")[63]).alias("last"))
+
+
+@query(f"""WITH {_QV}, near AS (SELECT vec_id, embedding, qv FROM embeddings, q ORDER BY list_cosine_distance(embedding[1:16]::DOUBLE[], qv[1:16]), vec_id LIMIT 50)
+SELECT vec_id, round({_COS}, 6) + 0.0 AS d FROM near ORDER BY {_COS}, vec_id LIMIT 10""")
+def prefix16_rescore(spark, d):
+    e = _embeddings(spark, d)
+    q = _q(e)
+    near = e.withColumn("p", cosine(prefix("embedding", 16), q[:16])).orderBy("p", "vec_id").limit(50)
+    return exact.nearest(near, q, 10).select("vec_id", _r("distance").alias("d"))
+
+
+@query(f"WITH {_QV} SELECT vec_id, round({_COS}, 6) + 0.0 AS d FROM embeddings, q WHERE {_COS} < 0.9")
+def within_distance(spark, d):
+    e = _embeddings(spark, d)
+    return exact.within(e, _q(e), 0.9).select("vec_id", _r("distance").alias("d"))
+
+
+@query(f"WITH {_EL} SELECT vec_id, list_has_any(list_filter(labels, lambda x: x IS NOT NULL), [3, 11]::SMALLINT[]) AS hit FROM el")
+def overlap(spark, d):
+    return _labelled(spark, d).select("vec_id", labels_overlap("labels", [3, 11]).alias("hit"))
+
+
+@query(f"WITH {_EL} SELECT vec_id, array_to_string(list_sort(list_distinct(list_filter(coalesce(labels, []), lambda x: x IS NOT NULL))), ',') AS labels FROM el")
+def normalized_labels(spark, d):
+    return _labelled(spark, d).select("vec_id", F.array_join(labels_normalize("labels"), ",").alias("labels"))
+
+
+@query(f"WITH {_EL} SELECT vec_id, len(list_filter(list_intersect(list_filter(coalesce(labels, []), lambda x: x IS NOT NULL), [1, 2, 3, 11]::SMALLINT[]), lambda x: NOT list_contains([3, 11]::SMALLINT[], x))) = 0 AS inside FROM el")
+def contains_intersection(spark, d):
+    return _labelled(spark, d).select("vec_id", labels_contain_intersection([3, 11], labels_normalize("labels"), [1, 2, 3, 11]).alias("inside"))
+
+
+def _has(*labels: int) -> str:
+    return f"coalesce(list_has_any(list_filter(labels, lambda x: x IS NOT NULL), {list(labels)}::SMALLINT[]), false)"
+
+
+@query(_top_sql(_COS, "el", _has(3), ctes=f"{_EL}, {_QV}"))
+def label_topk_one(spark, d):
+    return _top(_labelled(spark, d), labels=[3])
+
+
+@query(_top_sql(_COS, "el", _has(3, 11), ctes=f"{_EL}, {_QV}"))
+def label_topk_two(spark, d):
+    return _top(_labelled(spark, d), labels=[3, 11])
+
+
+@query(_top_sql(_COS, "el", "FALSE", ctes=f"{_EL}, {_QV}"))
+def label_topk_empty(spark, d):
+    return _top(_labelled(spark, d), labels=[])
+
+
+@query(_top_sql(_COS, "el", _has(3, 11) + " AND vec_id % 2 = 0", ctes=f"{_EL}, {_QV}"))
+def label_and_filter_topk(spark, d):
+    return _top(_labelled(spark, d), labels=[3, 11], where="vec_id % 2 = 0")
+
+
+@query(_top_sql(_COS, where="label IN (1, 2)"))
+def filter_topk(spark, d):
+    return _top(_embeddings(spark, d), where="label IN (1, 2)")
+
+
+@query(f"WITH {_EL} SELECT vec_id, len(labels)::INTEGER AS n FROM el WHERE len(labels) > 1")
+def label_array_length(spark, d):
+    return _labelled(spark, d).where("size(labels) > 1").select("vec_id", F.size("labels").alias("n"))
+
+
+@query(f"WITH {_EL} SELECT vec_id FROM el WHERE {_has(2)}")
+def label_filter_only(spark, d):
+    return _labelled(spark, d).where(labels_overlap("labels", [2])).select("vec_id")
+
+
+@query(f"WITH {_EL}, {_QV} SELECT vec_id, round({_COS}, 1) + 0.0 AS d, array_to_string(labels, ',') AS l FROM el, q WHERE labels IS NOT NULL ORDER BY round({_COS}, 1), coalesce(array_to_string(labels, ','), ''), vec_id LIMIT 20")
+def order_by_distance_then_labels(spark, d):
+    e = _labelled(spark, d).where("labels IS NOT NULL")
+    return exact.with_distance(e, _q(e)).select("vec_id", (F.round("distance", 1) + 0.0).alias("d"), F.array_join("labels", ",").alias("l")).orderBy("d", "l", "vec_id").limit(20)
+
+
+@query(f"WITH {_EL}, {_QV} SELECT vec_id, round({_COS}, 6) + 0.0 AS d FROM el, q WHERE labels IS NOT NULL ORDER BY array_to_string(labels, ','), {_COS}, vec_id LIMIT 20")
+def order_by_labels_then_distance(spark, d):
+    e = _labelled(spark, d).where("labels IS NOT NULL")
+    return exact.with_distance(e, _q(e)).orderBy(F.array_join("labels", ","), "distance", "vec_id").limit(20).select("vec_id", _r("distance").alias("d"))
+
+
+@query(f"WITH {_QV}, near AS MATERIALIZED (SELECT vec_id, {_COS} AS d FROM embeddings, q ORDER BY d, vec_id LIMIT 20) SELECT vec_id, round(d, 6) + 0.0 AS d FROM near ORDER BY d DESC, vec_id LIMIT 10")
+def strict_order_cte(spark, d):
+    e = _embeddings(spark, d)
+    return exact.nearest(e, _q(e), 20).orderBy(F.desc("distance"), "vec_id").limit(10).select("vec_id", _r("distance").alias("d"))
+
+
+@query(f"""WITH {_EL}, names AS (SELECT range AS id, 'name' || range AS name FROM range(16))
+SELECT vec_id, array_to_string(list_sort(list(name)), ',') AS names FROM (SELECT vec_id, unnest(labels) AS id FROM el) JOIN names USING (id) GROUP BY vec_id""")
+def label_names_join(spark, d):
+    names = spark.range(16).select("id", F.concat(F.lit("name"), "id").alias("name"))
+    each = _labelled(spark, d).select("vec_id", F.explode("labels").alias("id")).withColumn("id", F.col("id").cast("long"))
+    return each.join(F.broadcast(names), "id").groupBy("vec_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+
+
+@query(f"WITH {_EL}, wanted AS (SELECT list(r_regionkey::SMALLINT) AS ids FROM region WHERE r_regionkey < 2) SELECT vec_id FROM el, wanted WHERE coalesce(list_has_any(list_filter(labels, lambda x: x IS NOT NULL), ids), false)")
+def label_subquery_filter(spark, d):
+    wanted = table(spark, d, "region").where("r_regionkey < 2").agg(F.collect_list(F.col("r_regionkey").cast("smallint")).alias("ids"))
+    return _labelled(spark, d).crossJoin(F.broadcast(wanted)).where(labels_overlap("labels", F.col("ids"))).select("vec_id")
+
+
+@query(f"WITH {_QV} SELECT vec_id, round({_COS}, 6) + 0.0 AS d FROM embeddings, q")
+def full_scan(spark, d):
+    return _top(_embeddings(spark, d), None)
+
+
+@query("SELECT count(*)::BIGINT AS n FROM embeddings")
+def index_scan_count(spark, d):
+    return _top(_embeddings(spark, d), None).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT vec_id FROM embeddings EXCEPT SELECT vec_id FROM embeddings WHERE vec_id % 10 <> 0")
+def missing_from_scan(spark, d):
+    e = _embeddings(spark, d)
+    return e.select("vec_id").exceptAll(_top(e.where("vec_id % 10 <> 0 OR vec_id = 7"), None).where("vec_id % 10 <> 0").select("vec_id"))
+
+
+@query(f"WITH {_QV}, r AS (SELECT label, vec_id, round({_COS}, 6) + 0.0 AS d, row_number() OVER (PARTITION BY label ORDER BY {_COS}, vec_id)::INTEGER AS rank FROM embeddings, q) SELECT * FROM r WHERE rank <= 3")
+def topk_per_label(spark, d):
+    e = _embeddings(spark, d)
+    return exact.nearest_per_group(e, _q(e), "label", 3).select("label", "vec_id", _r("distance").alias("d"), "rank")
+
+
+@query("""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, greatest(0.0, list_cosine_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS d FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)
+SELECT query_id, vec_id, round(d, 6) + 0.0 AS d, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INTEGER AS rank FROM p) WHERE rank <= 3""")
+def knn_join(spark, d):
+    e = _embeddings(spark, d)
+    return exact.knn_join(e, e, 3).select("query_id", "vec_id", _r("distance").alias("d"), "rank")
+
+
+@query(f"WITH {_QV} SELECT label, count(*)::BIGINT AS n, round(avg({_COS}), 6) AS mean, round(var_samp({_COS}), 6) AS var FROM embeddings, q GROUP BY label")
+def distance_stats_by_label(spark, d):
+    e = _embeddings(spark, d)
+    return exact.with_distance(e, _q(e)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("distance")).alias("mean"), _r(F.var_samp("distance")).alias("var"))
+
+
+_TRAIN = "t AS (SELECT pos, avg(x) AS mean, sqrt(var_pop(x)) AS std, count(*)::BIGINT AS n FROM (SELECT unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY pos)"
+_LEVELS = f"""{_TRAIN}, e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
+l AS (SELECT vec_id, pos, (x > mean)::INTEGER AS bit, least(greatest(floor(((x - mean) / std + 2) / (4.0 / 3)), 0), 2)::INTEGER AS level FROM e JOIN t USING (pos))"""
+
+
+@query(f"WITH {_TRAIN} SELECT pos::INTEGER AS pos, round(mean, 6) + 0.0 AS mean, round(std, 6) AS std, n FROM t")
+def sbq_train(spark, d):
+    return sbq.train(_embeddings(spark, d)).select("pos", _r("mean").alias("mean"), _r("std").alias("std"), "n")
+
+
+@query(f"WITH {_LEVELS} SELECT vec_id, pos::INTEGER AS pos, bit, level FROM l")
+def sbq_levels(spark, d):
+    e = _embeddings(spark, d)
+    mean, std = sbq.quantizer(sbq.train(e))
+    both = F.arrays_zip(sbq.levels("embedding", mean, std, 1).alias("bit"), sbq.levels("embedding", mean, std, 2).alias("level"))
+    return e.select("vec_id", F.posexplode(both).alias("pos", "x")).select("vec_id", "pos", F.col("x.bit").alias("bit"), F.col("x.level").alias("level"))
+
+
+_SBQ_D = "(SELECT a.vec_id, sum(abs(a.{0} - b.{0}))::INTEGER AS d FROM l a JOIN l b ON a.pos = b.pos AND b.vec_id = 7 GROUP BY a.vec_id)"
+
+
+@query(f"WITH {_LEVELS} SELECT vec_id, d FROM {_SBQ_D.format('level')} ORDER BY d, vec_id LIMIT 10")
+def sbq_hamming_topk(spark, d):
+    e = _embeddings(spark, d)
+    mean, std = sbq.quantizer(sbq.train(e))
+    return sbq.search(e, _q(e), mean, std, 2, 10, 0).select("vec_id", F.col("code_distance").alias("d"))
+
+
+@query(f"WITH {_LEVELS} SELECT vec_id, d FROM {_SBQ_D.format('bit')} ORDER BY d, vec_id LIMIT 10")
+def sbq_bit_hamming_topk(spark, d):
+    e = _embeddings(spark, d)
+    mean, std = sbq.quantizer(sbq.train(e))
+    mine, other = sbq.code(sbq.levels("embedding", mean, std, 1), 1), sbq.code(sbq.levels(_q(e), mean, std, 1), 1)
+    return e.select("vec_id", hamming(mine, other).alias("d")).orderBy("d", "vec_id").limit(10)
+
+
+@query(f"WITH {_LEVELS}, {_QV}, near AS (SELECT vec_id FROM {_SBQ_D.format('level')} ORDER BY d, vec_id LIMIT 50) SELECT vec_id, round({_COS}, 6) + 0.0 AS d FROM near JOIN embeddings USING (vec_id), q ORDER BY {_COS}, vec_id LIMIT 10")
+def sbq_rescore_topk(spark, d):
+    e = _embeddings(spark, d)
+    mean, std = sbq.quantizer(sbq.train(e))
+    return sbq.search(e, _q(e), mean, std, 2).select("vec_id", _r("distance").alias("d"))
+
+
+@query(f"WITH {_QV}, u AS (SELECT vec_id, CASE WHEN vec_id % 10 = 3 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM embeddings) SELECT vec_id, round({_COS}, 6) + 0.0 AS d FROM u, q ORDER BY {_COS}, vec_id LIMIT 10")
+def vector_update_then_topk(spark, d):
+    e = _embeddings(spark, d)
+    changed = e.where("vec_id % 10 = 3").select("vec_id", F.transform("embedding", lambda x: -x).alias("new"))
+    return exact.nearest(e.join(changed, "vec_id", "left").withColumn("embedding", F.coalesce("new", "embedding")), _q(e), 10).select("vec_id", _r("distance").alias("d"))
+
+
+@query(_top_sql(_COS, where="vec_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0)"))
+def delete_then_topk(spark, d):
+    e = _embeddings(spark, d)
+    return exact.nearest(e.join(e.where("vec_id % 3 = 0").select("vec_id"), "vec_id", "left_anti"), _q(e), 10).select("vec_id", _r("distance").alias("d"))
+
+
+@query("SELECT count(*)::BIGINT AS n FROM embeddings WHERE vec_id % 29 <> 0")
+def null_vector_excluded(spark, d):
+    e = _embeddings(spark, d).withColumn("embedding", F.when(F.col("vec_id") % 29 != 0, F.col("embedding")))
+    return e.where("embedding IS NOT NULL").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*)::BIGINT AS n FROM embeddings")
+def null_query_scan(spark, d):
+    return exact.nearest(_embeddings(spark, d), None, None).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_top_sql(_COS))
+def subquery_vector_topk(spark, d):
+    e = _embeddings(spark, d)
+    return exact.nearest_to_row(e, e.where("vec_id = 7"), "embedding", 10).select("vec_id", _r("distance").alias("d"))
+
+
+@query("SELECT vec_id, vec_id::DOUBLE AS first, 3::INTEGER AS n FROM embeddings")
+def vector_text_literal(spark, d):
+    e = _embeddings(spark, d).select("vec_id", vectors_from_text(F.concat(F.lit("["), "vec_id", F.lit(",2,3]"))).alias("v"))
+    return e.select("vec_id", F.col("v")[0].cast("double").alias("first"), F.size("v").alias("n"))
+
+
+@query(f"WITH {_QV} SELECT vec_id, round({_COS}, 6) + 0.0 AS d FROM embeddings, q ORDER BY {_COS}, vec_id LIMIT 10")
+def sql_functions_topk(spark, d):
+    vector_sql.register(spark)
+    _embeddings(spark, d).createOrReplaceTempView("vecspark_embeddings")
+    return spark.sql("SELECT vec_id, round(dist, 6) + 0D AS d FROM (SELECT e.vec_id, vec_cosine(e.embedding, q.embedding) AS dist FROM vecspark_embeddings e CROSS JOIN (SELECT embedding FROM vecspark_embeddings WHERE vec_id = 7) q) ORDER BY dist, vec_id LIMIT 10")
+
+
+# the approximate index: one summary row each
+
+def _index(spark: SparkSession, df: DataFrame, **o) -> VectorIndex:
+    return VectorIndex.create(df, f"{checkpoint_dir(spark).rstrip('/')}/vecspark-indexes/{uuid.uuid4().hex}", options=IndexOptions(**o), labels="labels" if "labels" in df.columns else None)
+
+
+def _recall(df: DataFrame, index: VectorIndex, labels=None) -> float:
+    q = _q(df)
+    truth = {r["vec_id"] for r in exact.nearest(df, q, 10, labels=labels).collect()}
+    return len(truth & {r["row_key"] for r in index.search(q, 10, labels=labels).collect()}) / max(len(truth), 1)
+
+
+def _fact(spark: SparkSession, **values) -> DataFrame:
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
+
+
+@query("SELECT true AS good")
+def ann_topk_recall(spark, d):
+    e = _embeddings(spark, d)
+    return _fact(spark, good=_recall(e, _index(spark, e)) >= 0.9)
+
+
+@query("SELECT true AS good")
+def ann_plain_l2_recall(spark, d):
+    e = _embeddings(spark, d)
+    index = _index(spark, e, storage_layout="plain", metric=Metric.L2)
+    q = _q(e)
+    truth = {r["vec_id"] for r in exact.nearest(e, q, 10, metric=Metric.L2).collect()}
+    return _fact(spark, good=len(truth & {r["row_key"] for r in index.search(q, 10).collect()}) >= 9)
+
+
+@query("SELECT true AS good")
+def ann_label_recall(spark, d):
+    e = _labelled(spark, d)
+    index = _index(spark, e)
+    return _fact(spark, good=min(_recall(e, index, [3]), _recall(e, index, [3, 11])) >= 0.9)
+
+
+@query("SELECT count(*)::BIGINT AS n FROM embeddings")
+def ann_full_scan_count(spark, d):
+    e = _embeddings(spark, d)
+    return _fact(spark, n=F.lit(_index(spark, e).scan(_q(e)).count()).cast("long"))
+
+
+@query("SELECT (count(*) FILTER (vec_id % 4 <> 1))::BIGINT AS after_delete, (count(*) FILTER (vec_id % 4 <> 1 AND vec_id % 5 <> 0) + 1)::BIGINT AS after_vacuum_and_insert, (count(*) FILTER (vec_id % 4 <> 1 AND vec_id % 5 <> 0) + 1)::BIGINT AS after_rebuild FROM embeddings")
+def ann_insert_delete_vacuum_count(spark, d):
+    e = _embeddings(spark, d)
+    q = _q(e)
+    index = _index(spark, e).delete(e.where("vec_id % 4 = 1"))
+    first = index.scan(q).count()
+    index = index.vacuum(e.where("vec_id % 5 <> 0")).insert(e.where("vec_id = 7").withColumn("vec_id", F.lit(-1).cast("long")))
+    second = index.scan(q).count()
+    return _fact(spark, after_delete=F.lit(first).cast("long"), after_vacuum_and_insert=F.lit(second).cast("long"), after_rebuild=F.lit(index.rebuild().scan(q).count()).cast("long"))
+
+
+@query("SELECT count(*)::BIGINT AS nodes, count(*)::BIGINT AS reachable, 0::BIGINT AS loops, 0::BIGINT AS repeats, true AS bounded FROM embeddings")
+def graph_invariants(spark, d):
+    return _index(spark, _embeddings(spark, d)).invariants().agg(F.sum("nodes").alias("nodes"), F.sum("reachable").alias("reachable"), F.sum("loops").alias("loops"), F.sum("repeats").alias("repeats"), (F.max("most") <= 50).alias("bounded"))
+
+
+@query(f"WITH {_EL}, n AS (SELECT vec_id, labels, row_number() OVER (ORDER BY vec_id)::INTEGER - 1 AS node_id FROM el) SELECT label, min(node_id)::INTEGER AS node_id FROM (SELECT unnest(list_filter(labels, lambda x: x IS NOT NULL)) AS label, node_id FROM n) GROUP BY label UNION ALL SELECT NULL, 0")
+def start_nodes(spark, d):
+    return _index(spark, _labelled(spark, d)).start_nodes().select("label", "node_id")
+
+
+@query("SELECT 10::BIGINT AS n, true AS filtered")
+def ann_post_filter(spark, d):
+    e = _embeddings(spark, d)
+    got = _index(spark, e).search(_q(e), 10, base=e, where="vec_id % 7 = 0").collect()
+    return _fact(spark, n=F.lit(len(got)).cast("long"), filtered=all(r["row_key"] % 7 == 0 for r in got))
