@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,6 +29,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/vecspark-tables/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     _WRITTEN.setdefault(id(spark.sparkContext), []).append(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files once nothing refers to them any more
     return spark.read.schema(df.schema).parquet(path)
 
 
