@@ -31,16 +31,28 @@ def save(df: DataFrame, name: str) -> DataFrame:
     _WRITTEN.setdefault(id(spark.sparkContext), []).append(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files once nothing refers to them any more
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vecspark_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def discard(*saved: DataFrame) -> None:
+    """Delete tables that ``save`` wrote; only once everything computed from them is written itself."""
+    for df in saved:
+        _delete(df.sparkSession, df._vecspark_path)
+        _WRITTEN.get(id(df.sparkSession.sparkContext), []).remove(df._vecspark_path)
 
 
 def release(spark: SparkSession) -> int:
     """Delete every table that ``save`` wrote in this session; frames that read them must not be used afterwards."""
     paths = _WRITTEN.pop(id(spark.sparkContext), [])
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
-        hadoop_path = jvm.org.apache.hadoop.fs.Path(p)
-        hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
+        _delete(spark, p)
     return len(paths)
 
 
