@@ -10,6 +10,7 @@ from vecspark.options import IndexOptions, Metric, SearchOptions
 
 
 def rows(spark, data, labels=False):
+    data = [(k, v and [float(x) for x in v], *more) for k, v, *more in data]
     return spark.createDataFrame(data, "vec_id long, embedding array<float>" + (", labels array<smallint>" if labels else ""))
 
 

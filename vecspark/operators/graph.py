@@ -94,8 +94,28 @@ class Graph:
         for n, near in enumerate(self.neighbors):
             if len(near) > self.room:
                 self.neighbors[n] = self.prune(n, near)
+        self._attach()
         return self
 
+    def _attach(self) -> None:
+        """Links each node that the start cannot reach from the nearest one that it can reach and that has room."""
+        seen = self._from(set(self.starts_for(None)))
+        for n in range(len(self.points)):
+            if n not in seen:
+                free = np.array([m for m in seen if len(self.neighbors[m]) < self.room], np.int64)
+                if len(free):
+                    self.neighbors[free[np.argmin(distances(self.kind, self.points[free], self.points[n]))]].append(n)
+                    seen |= self._from({n})
+
+    def _from(self, seen: set[int]) -> set[int]:
+        todo = deque(seen)
+        while todo:
+            for m in self.neighbors[todo.popleft()]:
+                if m not in seen:
+                    seen.add(m)
+                    todo.append(m)
+        return seen
+
     def insert(self, n: int) -> None:
         """Registers start nodes, then links the node with what a filtered and an unfiltered search visit."""
         starts = self.starts_for(self.labels[n]) if self.labelled and self.labels[n] else []
@@ -125,11 +145,12 @@ class Graph:
         """Keeps candidates that no kept one hides: near ones first, with ever more tolerance while there is room.
 
         A kept neighbour hides a candidate by how much nearer the candidate is to it than to the node, but only if it carries all labels that the candidate
-        shares with the node.
+        shares with the node. Points at no distance from both are told apart by how far their numbers lie apart, so that equal points form chains and leave
+        room for others.
         """
         ids = np.asarray(near, np.int64)
         d = distances(self.kind, self.points[ids], self.points[n])
-        order = np.lexsort((ids, d))
+        order = np.lexsort((np.abs(ids - n), d))
         ids, d = ids[order], d[order]
         factor = np.zeros(len(ids))
         kept: list[int] = []
@@ -148,21 +169,14 @@ class Graph:
                     rest = rest[[(self.labels[ids[j]] & self.labels[n]) <= self.labels[ids[i]] for j in rest]]
                 if len(rest):
                     between = distances(self.kind, self.points[ids[rest]], self.points[ids[i]])
-                    ratio = np.where(between < TINY, np.where(d[rest] < TINY, 1.0, np.inf), d[rest] / np.maximum(between, TINY))
+                    ratio = np.where(between < TINY, np.where(d[rest] < TINY, np.abs(ids[rest] - n) / np.maximum(np.abs(ids[rest] - ids[i]), 1), np.inf), d[rest] / np.maximum(between, TINY))
                     factor[rest] = np.maximum(factor[rest], ratio)
             alpha *= 1.2
         return kept
 
     def reachable(self) -> int:
         """Nodes that can be reached from all starts."""
-        seen = set(self.starts_for(None)) | set(self.label_starts.values())
-        todo = deque(seen)
-        while todo:
-            for m in self.neighbors[todo.popleft()]:
-                if m not in seen:
-                    seen.add(m)
-                    todo.append(m)
-        return len(seen)
+        return len(self._from(set(self.starts_for(None)) | set(self.label_starts.values())))
 
     def to_dot(self) -> str:
         lines = ["digraph g {"]
