@@ -278,7 +278,7 @@ def test_nearest(spark):
 def test_chat(spark):
     rows = [(1, 1, "assistant", "</s>[INST] ~1 <|end|>\n"), (1, 0, "user", None), (2, None, None, "x"), (2, None, None, "x"), (None, 0, "assistant", "é")]
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_chats(chat.canonical_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), "conv_id"), "conv_id").collect()}
-    assert got[1]["turns_sha256"] == hashlib.sha256("user\n\nassistant\n</s>[INST] ~1 <|end|>\n\n".encode()).hexdigest() and got[1]["loss_chars"] == 23
+    assert got[1]["turns_sha256"] == hashlib.sha256("user\n\nassistant\n</s>[INST] ~1 <|end|>\n\n".encode()).hexdigest() and got[1]["loss_chars"] == len("</s>[INST] ~1 <|end|>\n")
     assert got[2]["n_turns"] == 2 and got[None]["loss_sha256"] == hashlib.sha256("é".encode()).hexdigest()
     records = [(1, '{"prompt":"a","response":"b"}'), (2, '{"messages":[{"role":"user","content":"x"}]}'), (3, '{"z":1}'), (4, None), (5, '{"instruction":"i","input":"","output":"o"}'), (6, '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}')]
     turns = {r["k"]: r["turns"] and [tuple(t) for t in r["turns"]] for r in chat.canonical_json(spark.createDataFrame(records, "k int, r string"), "k", "r").collect()}
