@@ -98,6 +98,20 @@ def test_packing(docs, odd, empty):
     assert packing.pack(packing.cut(empty)).count() == 0
 
 
+def test_packing_over_many_partitions(spark):
+    texts = spark.range(0, 40, 1, 40).select(F.col("id").alias("doc_id"), F.concat(F.lit(LONG[:9_000]), F.col("id").cast("string")).alias("text"))
+    got = packing.pack(packing.cut(texts)).collect()
+    assert {r["doc_id"] for r in got} == set(range(40))
+    at = defaultdict(list)
+    for r in got:
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in at.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in itertools.pairwise(places)) and sum(places[-1]) <= 1024
+    # two pieces of over half a sequence never share one
+    assert len(at) >= max(math.ceil(sum(r["length"] for r in got) / 1024), sum(r["length"] > 512 for r in got))
+
+
 def brute_components(rows):
     sets = [jaccard.shingles(r["text"]) for r in rows]
     root = list(range(len(rows)))
