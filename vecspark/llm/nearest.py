@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from vecspark.runtime import save
 
-#: Tables; neighbours; what the fit aims at; vectors and queries of the sample; blocks of a bucket that meet at once.
+#: Tables; neighbours; what the fit aims at; vectors and queries of the sample; blocks of a bucket that meet at once; pairs
+#: whose scores are computed at once.
 TABLES, K, AIM, SAMPLE, SAMPLE_QUERIES = 6, 5, 0.97, 4000, 200
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 2048
+VECTOR_BLOCK, QUERY_BLOCK, PAIRS = 8192, 2048, 65536
 GRID = [(k, w) for k in (2, 3, 4, 5, 6) for w in (0.5, 1.0, 1.5, 2.0, 3.0)]
 
 
@@ -170,13 +171,21 @@ def _top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vecs: np.n
     """Each query's ``k`` nearest of a block. A matrix product preselects; scores are computed for each pair by itself."""
     order = np.argsort(ids, kind="stable")
     ids, vecs = ids[order], vecs[order]
+    # equal vectors score the same, so of each only the k + 1 smallest ids can be among a query's nearest; one of them may be the query's own
+    same = np.unique(np.ascontiguousarray(vecs + 0.0).view(np.int64), axis=0, return_inverse=True)[1].ravel()
+    by = np.argsort(same, kind="stable")
+    keep = np.sort(by[np.arange(len(by)) - np.searchsorted(same[by], same[by]) <= k])
+    ids, vecs = ids[keep], vecs[keep]
     vn, qn = np.sqrt((vecs * vecs).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
     near = (queries / qn[:, None]) @ (vecs / vn[:, None]).T
     near[query_ids[:, None] == ids[None, :]] = -np.inf
     take = min(k, len(ids))
     floor = np.partition(near, len(ids) - take, axis=1)[:, len(ids) - take] - 1e-9
     q, v = np.nonzero((near >= floor[:, None]) & np.isfinite(near))
-    score = (queries[q] * vecs[v]).sum(axis=1) / (qn[q] * vn[v])
+    score = np.empty(len(q))
+    for at in range(0, len(q), PAIRS):
+        i, j = q[at : at + PAIRS], v[at : at + PAIRS]
+        score[at : at + PAIRS] = (queries[i] * vecs[j]).sum(axis=1) / (qn[i] * vn[j])
     order = np.lexsort((ids[v], -score, q))
     q, v, score = q[order], v[order], score[order]
     heads = np.searchsorted(q, q)
