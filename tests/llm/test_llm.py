@@ -271,6 +271,14 @@ def test_token_counts(docs, odd, empty):
     assert counting.count_by_line(empty).count() == 0
 
 
+def test_odd_white_space_is_encoded_whole():
+    pieces = tokens.Pieces(tokens.default_path())
+    texts = [" a\tb", "col1\tcol2 ", "a\u00a0b c", "a\tb \nc", "a\tb\n", "a b\nc"]
+    for text, ids, plain in zip(texts, pieces.many(texts), pieces.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.ids
+        assert [tuple(x) for x in pieces.spans(text, ids).tolist()] == plain.offsets
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(400, 8))

@@ -88,7 +88,8 @@ class Pieces(dict):
                 continue
             keys = text.split()
             lines = text.count("\n")
-            if len(keys) != text.count(" ") + lines + 1 or "\0" in text or (self.special and self.special.search(text)):
+            # equal only if all white space is spaces and line feeds, none side by side or at an end
+            if keys != (text.replace("\n", " ") if lines else text).split(" ") or "\0" in text or (self.special and self.special.search(text)):
                 out[n] = self.encode(text)
                 continue
             if lines:
