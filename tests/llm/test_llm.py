@@ -222,6 +222,53 @@ def test_scoring(docs, odd, empty):
     assert scoring.score(empty).count() == 0
 
 
+def brute_scores(rows):
+    """Every repeated context of any length, extended without a bound."""
+    texts = [[*words(t), None] for _, t in rows]
+    train = [t for (i, _), t in zip(rows, texts) if crc32(str(i).encode()) % 10]
+    c = Counter(w for t in train for w in t)
+    n = sum(c.values())
+    after = defaultdict(Counter)
+    for t in train:
+        for k in range(len(t)):
+            for j in range(k):
+                after[tuple(t[j:k])][t[k]] += 1
+    states = {}
+
+    def p(context, w):
+        if not context:
+            return (c[w] + 0.1) / (n + 0.1 * (len(c) + 1))
+        lower = p(context[1:], w)
+        if context not in states:
+            return lower
+        own, seen = states[context]
+        return (own.get(w, 0) + (seen - sum(own.values()) + 5) * lower) / (seen + 5)
+
+    for context in sorted(after, key=len):
+        seen, own = sum(after[context].values()), {w: k for w, k in after[context].items() if k >= 2}
+        lower = {w: p(context[1:], w) for w in own}
+        rest = seen - sum(own.values())
+        gain = sum(k * math.log(k / seen / lower[w]) for w, k in own.items()) + (rest and rest * math.log(rest / seen / (1 - sum(lower.values()))))
+        if own and gain > math.log(n):
+            states[context] = own, seen
+    return max(map(len, states), default=0), [sum(math.log10(p(tuple(t[:k]), t[k])) for k in range(len(t))) for t in texts]
+
+
+def test_scoring_keeps_long_contexts_on_any_partitioning(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for k in range(240):
+        a = rng.choice("uv")
+        rows.append((k, " ".join(x for _ in range(3) for x in (a, *rng.choices("pq", k=1), "r", "s", "t", {"u": "x", "v": "y"}[a], rng.choice("klmn") + str(rng.randrange(40))))))
+    rows += [(1000 + k, rows[0][1] + " end of a copied text") for k in range(5)]
+    depth, want = brute_scores(rows)
+    assert depth > 2
+    for parts, few in ((1, scoring.FEW), (6, 0)):  # with 0, no length is finished in one process
+        monkeypatch.setattr(scoring, "FEW", few)
+        got = {r["doc_id"]: r["score"] for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
+        assert [got[i] for i, _ in rows] == pytest.approx(want, rel=1e-9)
+
+
 def test_warc(spark):
     tag = lambda t, **more: {"etag": t} | more
     rows = [

@@ -1,14 +1,19 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Contexts of up to two words whose share of the training tokens reaches SHARE are candidates. One becomes a state if what follows it differs from
-what follows its suffix: the divergence of the two distributions, times the context's count, must exceed a threshold that grows with the
+Every context, of any number of words, is a candidate if some word follows it at least LEAST times. It becomes a state if what follows it differs
+from what follows its suffix: the divergence of the two distributions, times the context's count, must exceed a threshold that grows with the
 logarithm of all tokens. A token is scored in the longest state that its past ends in. A state gives mass by count to the words that follow it
 often, and the rest, plus a constant, by its suffix's distribution; at the root that is the smoothed share of each word. So every
 distribution sums to 1.
 
-n-grams of at least SHARE of the tokens are at most 1 / SHARE of each length, so the states are broadcast. Such an n-gram reaches that share in
-some block, so blocks report those that do, and a second pass counts exactly these. Words' counts are exact, for all words; those beyond
-the broadcast ones are joined.
+Contexts are learned by length, as tables joined by hash. What a longer context sees is some of what its suffix sees. So its count times its
+divergence from its suffix is at most the suffix's code length of all that, and, as the divergence is convex, at most the gain of some words with
+all their occurrences. A context for which such a bound is below the threshold has no state among its extensions, and only the others are
+extended; the result is that of extending all of them, and ends by itself.
+
+The logarithm of a token's probability is that at the root plus one term for each state in its past: of the word, if the state lists it, and of the
+state, if not. Terms are joined too. A bitmap of fixed size saves positions that no table holds from being shuffled; what it lets through in vain is
+dropped by the joins. Words' counts are exact, for all words; those beyond the broadcast ones are joined.
 """
 
 from __future__ import annotations
@@ -18,17 +23,22 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.jaccard import _LOWER, _WORDS
-from vecspark.runtime import save
-
-#: Least share of the training tokens for an n-gram or context; for a word's count to be broadcast; constant of the smoothing; longest context.
-SHARE, WORD_SHARE, STRENGTH, DEPTH = 4e-6, 2e-6, 5.0, 2
-#: Tokens of a block.
-BLOCK = 2_000_000
+from vecspark.runtime import discard, save
+
+#: Least count of an n-gram; share of the training tokens for a word's count to be broadcast; constant of the smoothing.
+LEAST, WORD_SHARE, STRENGTH = 2, 2e-6, 5.0
+#: Tokens of a block; rows of a record batch.
+BLOCK, ROWS = 2_000_000, 50_000
+#: Bits of a bitmap of hashes, and of each section of it, as powers of 2.
+BITS, SECTION = 27, 19
+#: Tokens of the texts with contexts that can be extended; once there are no more, one process extends them to the end.
+FEW = 4_000_000
 #: The end of a text, as a word; and the place before a text.
 END = np.uint64(0x5DEECE66D1234567)
 ADD = 0.1
@@ -57,14 +67,6 @@ def gram(*parts: np.ndarray) -> np.ndarray:
     return h
 
 
-def grams(t: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Every n-gram inside one document."""
-    if len(t) < n:
-        return np.empty(0, np.uint64)
-    inside = doc[n - 1 :] == doc[: len(t) - n + 1]
-    return gram(*(t[k : len(t) - n + 1 + k] for k in range(n)))[inside]
-
-
 def _blocks(batches: Iterator[pa.RecordBatch], training: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(rows, tokens, index of each token's row) of about BLOCK tokens."""
     rows: list = []
@@ -88,98 +90,212 @@ def _blocks(batches: Iterator[pa.RecordBatch], training: bool) -> Iterator[tuple
         yield out()
 
 
-def _batch(**columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], names=list(columns))
+def _batches(**columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays([pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for v in columns.values()], names=list(columns))
+    for at in range(0, whole.num_rows, ROWS):
+        yield whole.slice(at, ROWS)
 
 
-def learn(docs: DataFrame, share: float = SHARE) -> tuple[DataFrame, dict]:
-    """(counts of all words: w, c; the model's arrays), from the rows that are not held out."""
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
+def _bitmap(hashes: DataFrame) -> np.ndarray | None:
+    """Bits of the only column, a hash, by its leading bits; None if there are no rows."""
+
+    def section(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << SECTION, bool)
+        slot = table["slot"].to_numpy()
+        bits[slot & ((1 << SECTION) - 1)] = True
+        return pa.table({"section": [int(slot[0]) >> SECTION], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    slot = F.shiftrightunsigned(F.col(hashes.columns[0]), 64 - BITS).alias("slot")
+    found = hashes.select(slot).distinct().groupBy(F.shiftright("slot", SECTION)).applyInArrow(section, "section long, bits binary").collect()
+    out = np.zeros((1 << BITS - SECTION, (1 << SECTION) // 8), np.uint8)
+    for r in found:
+        out[r["section"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1) if found else None
+
+
+def _may_hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h >> np.uint64(64 - BITS)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """whole, g, context, tail, c of rows without g: the hash of two words, or of a context of one."""
+    for b in batches:
+        whole, context, tail, c = (b.column(k) for k in ("whole", "context", "tail", "c"))
+        first, second = (x.to_numpy().view(np.uint64) for x in (context, tail))
+        g = np.where(whole.to_numpy(zero_copy_only=False), gram(first, second), first).view(np.int64)
+        yield pa.RecordBatch.from_arrays([whole, pa.array(g), context, tail, c], names=["whole", "g", "context", "tail", "c"])
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t, doc in _blocks(batches, True):
-            w, c = np.unique(t, return_counts=True)
-            yield _batch(n=np.ones(len(w), np.int32), g=w.view(np.int64), c=c)
-            for n in range(2, DEPTH + 2):
-                g, c = np.unique(grams(t, doc, n), return_counts=True)
-                often = c >= max(2, math.ceil(share * len(t)))
-                yield _batch(n=np.full(int(often.sum()), n, np.int32), g=g[often].view(np.int64), c=c[often])
-
-    seen = save(texts.mapInArrow(first, "n int, g long, c long"), "grams")
-    counts = save(seen.where("n = 1").groupBy(F.col("g").alias("w")).agg(F.sum("c").alias("c")), "words")
-    row = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    total, kinds = int(row[0] or 0), int(row[1])
-    common = counts.where(F.col("c") >= max(2.0, WORD_SHARE * total)).toPandas()
-    order = np.argsort(common["w"].to_numpy().view(np.uint64))
-    words, word_counts = common["w"].to_numpy().view(np.uint64)[order], common["c"].to_numpy(np.int64)[order]
 
-    # candidates: what any block reports; n-grams below the share in every block are below it overall
-    listed = seen.where("n > 1").select("n", "g").distinct().toPandas()
-    wanted = {n: np.sort(listed["g"].to_numpy()[listed["n"].to_numpy() == n].view(np.uint64)) for n in range(2, DEPTH + 2)}
-    shared = spark.sparkContext.broadcast((wanted, words))
+def words_of(texts: DataFrame) -> DataFrame:
+    """Counts of all words: w, c; from the rows that are not held out."""
 
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, _ = shared.value
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t, _ in _blocks(batches, True):
+            w, c = np.unique(t, return_counts=True)
+            yield from _batches(w=w, c=c)
+
+    return save(texts.mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
+
+
+def _finish(a: np.ndarray, start: np.ndarray, at: np.ndarray, p: np.ndarray, group: np.ndarray, n: int, need: float, least: int) -> tuple[list[int], list, list]:
+    """As ``learn`` from contexts of n words on, with all that can be extended at hand: places of the following words, their probabilities (nan: not listed)
+    and numbers of the contexts one word shorter. (lengths; contexts, d; n-grams, d)"""
+    lengths, states, listed = [], [], []
+    while True:
+        inside = at - n >= start[at]
+        at, p, group = at[inside], p[inside], group[inside]
+        if not len(at):
+            return lengths, states, listed
+        word, first = np.unique(a[at - n], return_inverse=True)
+        _, group = np.unique(group * len(word) + first, return_inverse=True)
+        word, after = np.unique(a[at], return_inverse=True)
+        _, where, pair, c = np.unique(group * len(word) + after, return_index=True, return_inverse=True, return_counts=True)
+        seen = np.bincount(group).astype(float)
+        often = c >= least
+        of, c, parent = group[where[often]], c[often], p[where[often]]
+        total = lambda x: np.bincount(of, weights=x, minlength=len(seen))
+        ratio = c * np.log(c / (seen[of] * parent))
+        explicit, free, most = total(c), 1 - np.minimum(total(parent), 1 - 1e-12), np.zeros(len(seen))
+        np.maximum.at(most, of, c)
+        rest = seen - explicit
+        apart = np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / seen / free), 0.0)
+        state, loose = (explicit > 0) & (total(ratio) + apart > need), (rest + STRENGTH) / (seen + STRENGTH)
+        own = total(c * np.log((seen[of] + STRENGTH) / c)) - rest * np.log(loose * free)
+        scale, top = np.where(state, seen + STRENGTH, seen), np.maximum(most, rest)
+        share = lambda x: np.where(x > 0, x * np.log(scale / np.maximum(x, 1e-300)), 0.0)
+        parted = np.maximum(share(np.maximum(top, scale / math.e)), share(np.minimum(seen - top, scale / math.e)))
+        bound = np.minimum(np.where(state, own, -total(c * np.log(parent)) - rest * np.log(free)), parted + np.where(state, -rest * np.log(free), total(np.maximum(ratio, 0)) + np.maximum(apart, 0)))
+        after_p = np.where(state[of], c / (seen[of] + STRENGTH) + loose[of] * parent, parent)
+        if state.any():
+            lengths.append(n)
+            i = at[np.unique(group, return_index=True)[1][state]]
+            states.append((gram(*(a[i - n + k] for k in range(n))), np.log10(loose[state])))
+            i = at[where[often][state[of]]]
+            listed.append((gram(*(a[i - n + k] for k in range(n + 1))), np.log10(after_p / parent)[state[of]]))
+        by_pair = np.full(len(where), np.nan)
+        by_pair[often] = after_p
+        keep = ((explicit > 0) & (bound > need))[group]
+        at, p, group = at[keep], by_pair[pair][keep], group[keep]
+        n += 1
+
+
+def _at_hand(texts: DataFrame, n: int, alive: np.ndarray, extended: DataFrame, below: DataFrame, need: float, least: int):
+    """What ``_finish`` finds from contexts of n words on; None if there is more than FEW tokens."""
+    shared = texts.sparkSession.sparkContext.broadcast(alive)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t, doc in _blocks(batches, True):
-            for n, among in wanted.items():
-                if not len(among) or len(t) < n:
-                    continue
-                inside = np.flatnonzero(doc[n - 1 :] == doc[: len(t) - n + 1])
-                g = gram(*(t[k : len(t) - n + 1 + k] for k in range(n)))[inside]
-                i = np.minimum(np.searchsorted(among, g), len(among) - 1)
-                hit = among[i] == g
-                found, where, c = np.unique(g[hit], return_index=True, return_counts=True)
-                at = inside[hit][where]
-                context = gram(*(t[at + k] for k in range(n - 1))) if len(at) else np.empty(0, np.uint64)
-                suffix = gram(*(t[at + k] for k in range(1, n - 1))) if n > 2 and len(at) else np.zeros(len(at), np.uint64)
-                last = t[at + n - 1] if len(at) else np.empty(0, np.uint64)
-                yield _batch(n=np.full(len(found), n, np.int32), g=found.view(np.int64), context=context.view(np.int64), suffix=suffix.view(np.int64), w=last.view(np.int64), c=c)
-
-    counted = texts.mapInArrow(second, "n int, g long, context long, suffix long, w long, c long")
-    exact = counted.groupBy("n", "g").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.first("w").alias("w"), F.sum("c").alias("c")).where(F.col("c") >= max(2.0, share * total)).toPandas()
-    return counts, tree(exact, words, word_counts, total, kinds)
-
-
-def tree(exact, words: np.ndarray, word_counts: np.ndarray, total: int, kinds: int) -> dict:
-    """Which contexts become states, and what each holds. Arrays sorted by hash; at most 1 / SHARE rows of each length."""
-    base = ADD * (kinds + 1)
-
-    def root(w: np.ndarray) -> np.ndarray:
-        c = _look(words, word_counts, w, 0)
-        return (c + ADD) / (total + base)
+            at = np.flatnonzero(doc[n - 1 :] == doc[: len(t) - n + 1])
+            at = at[_may_hold(shared.value, gram(*(t[at + k] for k in range(n - 1))))] + n - 1
+            first = np.searchsorted(doc, np.arange(doc[-1] + 2))
+            for d in np.unique(doc[at]):
+                yield pa.RecordBatch.from_pydict({"t": pa.array([t[first[d] : first[d + 1]].view(np.int64)]), "at": pa.array([at[doc[at] == d] - first[d]])})
+
+    found = save(texts.mapInArrow(gather, "t array<long>, at array<long>"), "gathered")
+    size = found.agg(F.sum(F.size("t"))).first()[0] or 0
+    out = None
+    if size <= FEW:
+        rows = found.toArrow()
+        a, sizes = rows["t"].combine_chunks(), np.asarray([len(x) for x in rows["t"]], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        start = np.repeat(begins, sizes)
+        a = a.flatten().to_numpy().view(np.uint64)
+        at = rows["at"].combine_chunks().flatten().to_numpy() + np.repeat(begins, [len(x) for x in rows["at"]])
+        exact = np.sort(extended.toPandas()["context"].to_numpy(np.int64).view(np.uint64))
+        known = below.toPandas()
+        g = known["tail"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(g)
+        context = gram(*(a[at - n + 1 + k] for k in range(n - 1)))
+        group = np.minimum(np.searchsorted(exact, context), len(exact) - 1)
+        p = _look(g[order], known["parent"].to_numpy(float)[order], gram(context, a[at]), np.nan)
+        held = exact[group] == context
+        out = _finish(a, start, at[held], p[held], group[held], n, need, least)
+    discard(found)
+    return out
+
 
+def learn(texts: DataFrame, counts: DataFrame, total: int, kinds: int, least: int = LEAST) -> Iterator[tuple[list[int], tuple | None, DataFrame, DataFrame]]:
+    """(numbers of words of the contexts; words and bitmap of the suffixes that all of them have; states: context, d; words they list: g, d).
+
+    ``d`` is the logarithm to base 10 of what a state makes of its suffix's probability of a word.
+    """
+    spark = texts.sparkSession
     need = math.log(max(total, 2))
-    states: dict[int, dict] = {}
-    size = {1: (words, word_counts)}
-    for n in range(2, DEPTH + 2):
-        part = exact[exact["n"] == n]
-        g, context, suffix, w = (part[x].to_numpy(np.int64).view(np.uint64) for x in ("g", "context", "suffix", "w"))
-        c = part["c"].to_numpy(np.int64)
-        order = np.argsort(context, kind="stable")
-        g, context, suffix, w, c = g[order], context[order], suffix[order], w[order], c[order]
-        seen = _look(*size[n - 1], context, 0)  # how often the context came; the end of a text is never in one
-        ok = seen > 0
-        g, context, suffix, w, c, seen = g[ok], context[ok], suffix[ok], w[ok], c[ok], seen[ok]
-        parent = probability(states, root, w, suffix if n > 2 else None, n - 2)
-        heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.empty(0, np.int64)
-        if len(heads):
-            p = c / seen
-            inside, in_parent = np.add.reduceat(p, heads), np.minimum(np.add.reduceat(parent, heads), 1 - 1e-12)
-            rest = np.maximum(1 - inside, 0)
-            gain = np.add.reduceat(p * np.log(p / parent), heads) + np.where(rest > 1e-12, rest * np.log(np.maximum(rest, 1e-300) / (1 - in_parent)), 0.0)
-            keep = seen[heads] * gain > need
+    # what the tables hold of n-grams that are one word shorter
+    below = counts.select(F.col("w").alias("tail"), ((F.col("c") + F.lit(ADD)) / F.lit(total + ADD * (kinds + 1))).alias("parent"))
+    n, alive, old = 1, None, []
+    while True:
+        shared = spark.sparkContext.broadcast(alive)
+
+        def count(batches: Iterator[pa.RecordBatch], n: int = n, shared=shared) -> Iterator[pa.RecordBatch]:
+            alive = shared.value
+            for _, t, doc in _blocks(batches, True):
+                if len(t) <= n:
+                    continue
+                at = np.flatnonzero(doc[n:] == doc[:-n])
+                if alive is not None:
+                    at = at[_may_hold(alive, gram(*(t[at + k] for k in range(1, n))))]
+                context = gram(*(t[at + k] for k in range(n)))
+                g, where, c = np.unique(gram(context, t[at + n]), return_index=True, return_counts=True)
+                at = at[where]
+                yield from _batches(whole=np.ones(len(g), bool), g=g, context=context[where], tail=gram(*(t[at + k] for k in range(1, n + 1))), c=c)
+                g, c = np.unique(context, return_counts=True)
+                yield from _batches(whole=np.zeros(len(g), bool), g=g, context=g, tail=g, c=c)
+
+        # n-grams; and contexts, whose rows count whatever follows
+        columns = "whole boolean, g long, context long, tail long, c long"
+        raw, least_often = texts.mapInArrow(count, columns), F.col("c") >= least
+        if n == 1:  # two words are their own key, so their hash need not be shuffled
+            pairs = raw.groupBy("whole", "context", "tail").agg(F.sum("c").alias("c")).where(least_often)
+            summed = save(pairs.mapInArrow(_hashed, columns), "grams")
         else:
-            keep = np.empty(0, bool)
-        kept = np.repeat(keep, np.diff(np.append(heads, len(context))))
-        total_at, explicit = seen[heads][keep], np.add.reduceat(c, heads)[keep] if len(heads) else np.empty(0, np.int64)
-        loose = (total_at - np.minimum(explicit, total_at) + STRENGTH) / (np.maximum(total_at, explicit) + STRENGTH)
-        by = np.argsort(g[kept])
-        bigs = np.maximum(total_at, explicit)
-        counts_of = np.repeat(bigs, np.diff(np.append(heads, len(context)))[keep]) if len(heads) else np.empty(0)
-        states[n - 1] = {"context": context[heads][keep], "loose": loose, "g": g[kept][by], "own": (c[kept] / (counts_of + STRENGTH))[by]}
-        size[n] = (np.sort(exact[exact["n"] == n]["g"].to_numpy(np.int64).view(np.uint64)), exact[exact["n"] == n]["c"].to_numpy(np.int64)[np.argsort(exact[exact["n"] == n]["g"].to_numpy(np.int64).view(np.uint64))])
-    return {"states": states, "words": words, "counts": word_counts, "total": total, "kinds": kinds}
+            summed = save(raw.groupBy("whole", "g").agg(F.first("context").alias("context"), F.first("tail").alias("tail"), F.sum("c").alias("c")).where(least_often), "grams")
+        seen = summed.where("not whole").select("context", F.col("c").cast("double").alias("seen"))
+        listed = save(summed.where("whole").select("g", "context", "tail", "c").join(below, "tail").join(seen, "context").drop("tail"), "listed")
+        discard(summed, *old)
+
+        c, p = F.col("c"), F.col("parent")
+        sums = listed.groupBy("context", "seen").agg(
+            F.sum("c").alias("explicit"), F.least(F.sum("parent"), F.lit(1 - 1e-12)).alias("in_parent"), F.sum(c * F.log(c / (F.col("seen") * p))).alias("gain"),
+            F.sum(F.greatest(c * F.log(c / (F.col("seen") * p)), F.lit(0.0))).alias("gained"), F.max("c").alias("most"),
+            F.sum(c * F.log((F.col("seen") + STRENGTH) / c)).alias("own_length"), F.sum(-c * F.log(p)).alias("parent_length"),
+        )
+        loose = (F.col("seen") - F.col("explicit") + STRENGTH) / (F.col("seen") + STRENGTH)
+        rest, free = F.col("seen") - F.col("explicit"), 1 - F.col("in_parent")
+        apart = F.when(rest > 0, rest * F.log(rest / F.col("seen") / free)).otherwise(0.0)
+        judged = sums.select("context", "seen", "most", loose.alias("loose"), (F.col("gain") + apart > need).alias("state"), rest.alias("rest"), free.alias("free"),
+                             "own_length", "parent_length", (F.col("gained") + F.greatest(apart, F.lit(0.0))).alias("gained"))
+        state, rest = F.col("state"), F.col("rest")
+        # at most these are the code lengths of what was seen: a state's probability of a word is at least the word's own part of it
+        length = F.when(state, F.col("own_length") - rest * F.log(F.col("loose") * F.col("free"))).otherwise(F.col("parent_length") - rest * F.log("free"))
+        # and this is the most that some of the words, each with all its occurrences, can gain over the whole: with the most frequent one, or without
+        scale = F.when(state, F.col("seen") + STRENGTH).otherwise(F.col("seen"))
+        top = F.greatest(F.col("most").cast("double"), rest)
+        share = lambda x: F.when(x > 0, x * F.log(scale / x)).otherwise(0.0)
+        parted = F.greatest(share(F.greatest(top, scale / math.e)), share(F.least(F.col("seen") - top, scale / math.e)))
+        length = F.least(length, parted + F.when(state, -rest * F.log("free")).otherwise(F.col("gained")))
+        contexts = save(judged.select("context", "seen", "loose", "state", (length > need).alias("extended")).where("state or extended"), "contexts")
+        after = F.when(F.col("state"), c / (F.col("seen") + STRENGTH) + F.col("loose") * p).otherwise(p)
+        known = save(listed.drop("seen").join(contexts, "context").select("g", "state", "extended", after.alias("p"), F.when(F.col("state"), F.log10(after / p)).alias("d")), "known")
+        discard(listed)
+        yield [n], None, contexts.where("state").select("context", F.log10("loose").alias("d")), known.where("state").select("g", "d")
+        alive = _bitmap(contexts.where("extended").select("context"))
+        shared.destroy()
+        old, below = [known], known.where("extended").select(F.col("g").alias("tail"), F.col("p").alias("parent"))
+        if alive is None:
+            discard(contexts, known)
+            return
+        n += 1
+        extended = contexts.where("extended")
+        found = _at_hand(texts, n, alive, extended.select("context"), below, need, least) if extended.agg(F.sum("seen")).first()[0] <= FEW / 8 else None
+        discard(contexts)
+        if found is not None:
+            discard(known)
+            if found[0]:
+                table = lambda parts, name: spark.createDataFrame(pd.DataFrame({name: np.concatenate([h for h, _ in parts]).view(np.int64), "d": np.concatenate([d for _, d in parts])}))
+                yield found[0], (n - 1, alive), table(found[1], "context"), table(found[2], "g")
+            return
 
 
 def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
@@ -189,54 +305,66 @@ def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: flo
     return np.where(keys[i] == wanted, values[i], missing)
 
 
-def probability(states: dict, root, w: np.ndarray, context: np.ndarray | None, length: int) -> np.ndarray:
-    """P(w | context of one word, or none), from the states so far."""
-    p = root(w)
-    if length >= 1 and 1 in states and context is not None:
-        s = states[1]
-        loose = _look(s["context"], s["loose"], context, 1.0)
-        own = np.where(loose < 1.0, _look(s["g"], s["own"], gram(context, w), 0.0), 0.0)
-        p = own + loose * p
-    return p
-
+def _terms(texts: DataFrame, lengths: list[int], suffixes: tuple | None, states: DataFrame, listed: DataFrame) -> DataFrame | None:
+    """row, d: what the states of these lengths add to each row's logarithm."""
+    bits = _bitmap(states.select("context"))
+    if bits is None:
+        return None
+    shared = texts.sparkSession.sparkContext.broadcast((bits, suffixes))
 
-def score(docs: DataFrame, share: float = SHARE) -> DataFrame:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, suffixes = shared.value
+        for rows, t, doc in _blocks(batches, False):
+            first = np.searchsorted(doc, doc)
+            after = np.arange(len(t))
+            if suffixes:
+                n, alive = suffixes
+                after = after[after - n >= first]
+                after = after[_may_hold(alive, gram(*(t[after - n + k] for k in range(n))))]
+            for n in lengths:
+                after = after[after - n >= first[after]]
+                context = gram(*(t[after - n + k] for k in range(n)))
+                may = _may_hold(bits, context)
+                at, context = after[may], context[may]
+                yield from _batches(row=np.asarray(rows, np.int64)[doc[at]], g=gram(context, t[at]), context=context)
+
+    found = texts.select("row", "text").mapInArrow(find, "row long, g long, context long")
+    joined = found.join(states.withColumnRenamed("d", "unlisted"), "context").join(listed, "g", "left")
+    return save(joined.groupBy("row").agg(F.sum(F.coalesce("d", "unlisted")).alias("d")), "terms")
+
+
+def score(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``.
 
     Null texts are empty: one token, the end. A null doc_id counts as an empty text for the fold. Without training rows every token is unknown.
     """
     spark = docs.sparkSession
-    counts, model = learn(docs, share)
-    shared = spark.sparkContext.broadcast(model)
-    total, kinds = model["total"], model["kinds"]
+    # rows keep their numbers however often they are read
+    texts = save(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "texts")
+    train = texts.select("doc_id", "text")
+    counts = words_of(train)
+    row = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
+    total, kinds = int(row[0] or 0), int(row[1])
+    common = counts.where(F.col("c") >= max(2.0, WORD_SHARE * total)).toPandas()
+    order = np.argsort(common["w"].to_numpy().view(np.uint64))
+    shared = spark.sparkContext.broadcast((common["w"].to_numpy().view(np.uint64)[order], common["c"].to_numpy(np.int64)[order]))
     divisor = total + ADD * (kinds + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        m, at = shared.value, TaskContext.get().partitionId() << 40
-        states = m["states"]
-        for rows, t, doc in _blocks(batches, False):
-            c = _look(m["words"], m["counts"], t, 0)
+        words, word_counts = shared.value
+        kept: list = []
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kept.extend(batch.column(0).to_pylist())
+                yield batch.select([1, 2])
+
+        for rows, t, doc in _blocks(pairs(), False):
+            ids, size = kept[: len(rows)], len(rows)
+            del kept[:size]
+            c = _look(words, word_counts, t, 0)
             common = c > 0
-            p = (c + ADD) / divisor
-            base = np.where(common, np.log10(p), 0.0)
-            loose = np.ones(len(t))
-            for n in range(1, DEPTH + 1):
-                s = states.get(n)
-                if s is None or not len(s["context"]) or len(t) <= n:
-                    continue
-                inside = np.flatnonzero(doc[n:] == doc[:-n]) + n
-                context = gram(*(t[inside - n + k] for k in range(n)))
-                free = _look(s["context"], s["loose"], context, 1.0)
-                state = free < 1.0
-                inside, context, free = inside[state], context[state], free[state]
-                whole = gram(*(t[inside - n + k] for k in range(n)), t[inside])
-                own = _look(s["g"], s["own"], whole, 0.0)
-                p[inside] = own + free * p[inside]
-                loose[inside] *= free
-            part = np.log10(np.where(common, p, loose))
-            size = len(rows)
+            base = np.where(common, np.log10((c + ADD) / divisor), 0.0)
             add = lambda x: np.bincount(doc, weights=x, minlength=size)
             rare_doc, rare = doc[~common], t[~common].view(np.int64)
             order = np.lexsort((rare, rare_doc))
@@ -244,19 +372,29 @@ def score(docs: DataFrame, share: float = SHARE) -> DataFrame:
             offsets = np.searchsorted(rare_doc, np.arange(size + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(rows, pa.int64()), pa.array(at + np.arange(size)), pa.array([held_out(r) for r in rows], pa.bool_()), pa.array(np.bincount(doc, minlength=size)),
-                    pa.array(add(common).astype(np.int64)), pa.array(add(base)), pa.array(add(part)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare)),
+                    pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array([held_out(r) for r in ids], pa.bool_()), pa.array(np.bincount(doc, minlength=size)),
+                    pa.array(add(common).astype(np.int64)), pa.array(add(base)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare)),
                 ],
-                names=["doc_id", "row", "held_out", "n_tokens", "n_known", "base", "part", "rare"],
+                names=["doc_id", "row", "held_out", "n_tokens", "n_known", "base", "rare"],
             )
-            at += size
 
-    scored = save(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, part double, rare array<long>"), "scores")
+    scored = save(texts.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, rare array<long>"), "scores")
+    terms = [x for x in (_terms(texts, *level) for level in learn(train, counts, total, kinds, least)) if x is not None] if total else []
+    discard(texts)
     rare = scored.select("row", F.explode("rare").alias("w")).groupBy("row", "w").agg(F.count(F.lit(1)).alias("k"))
     known = rare.join(counts, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     sums = known.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * F.log10((F.col("c") + F.lit(ADD)) / F.lit(float(divisor)))).alias("log"))
     zero = F.lit(0.0)
-    return scored.drop("rare").join(sums, "row", "left").select(
+    out = scored.drop("rare").join(sums, "row", "left")
+    if terms:
+        gained = terms[0]
+        for x in terms[1:]:
+            gained = gained.unionByName(x)
+        out = out.join(gained.groupBy("row").agg(F.sum("d").alias("d")), "row", "left")
+    else:
+        out = out.withColumn("d", zero)
+    base = F.col("base") + F.coalesce("log", zero)
+    return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("log", zero)).alias("base_score"), (F.col("part") + F.coalesce("log", zero)).alias("score"),
+        base.alias("base_score"), (base + F.coalesce("d", zero)).alias("score"),
     )
