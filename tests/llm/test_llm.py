@@ -192,21 +192,6 @@ def test_suffix(docs, odd, empty):
     assert suffix.digests(empty).count() == 0
 
 
-def test_suffix_order(monkeypatch):
-    rng = random.Random(1)
-    for limit in (1 << 24, 8):
-        monkeypatch.setattr(suffix, "QUEUED", limit)
-        for _ in range(60):
-            segments = [bytes(rng.choices(b"ab", k=rng.randint(4, 40))) for _ in range(rng.randint(1, 9))] + [b"a" * 20]
-            owners = np.array([rng.randrange(9) for _ in segments])
-            least = {}
-            for s, o in zip(segments, owners.tolist(), strict=True):
-                for p in range(len(s) - 3):
-                    least[s[p : p + 4]] = min(least.get(s[p : p + 4], o), o)
-            for s, got in zip(segments, suffix.least_owner(segments, owners, 4), strict=True):
-                assert got.tolist() == [least[s[p : p + 4]] for p in range(len(s) - 3)]
-
-
 def test_scoring(docs, odd, empty):
     for df in (docs, odd):
         rows = df.collect()
