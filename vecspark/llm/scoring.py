@@ -44,7 +44,6 @@ ADD = 0.1
 _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 MANY = 1 << 40
-_STATE = np.dtype([("at", "<u4"), ("hash", "<u8"), ("p", "<f8"), ("own", "<u8")])
 #: Kinds of rows: a block of tokens, answers to it, questions, results of documents, and a count.
 TOKENS, ANSWER, QUESTION, DONE, COUNT = range(5)
 _ROW = "kind int, block long, level int, part long, n long, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -56,9 +55,19 @@ def held_out(doc_id: int | None, folds: int = 10) -> bool:
     return crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == 0
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """First bytes of all numbers first, then the second ones: small numbers then compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
+
+
+def _unpack(blob: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     """Rows (kind, block, level, part, n, arrays...)."""
-    columns = list(zip(*((*r[:5], *(x.tobytes() for x in r[5:]), *[None] * (11 - len(r))) for r in rows), strict=True)) or [()] * 11
+    columns = list(zip(*((*r[:5], *(_pack(x) for x in r[5:]), *[None] * (11 - len(r))) for r in rows), strict=True)) or [()] * 11
     names = [x.split()[0] for x in _ROW.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=names)
 
@@ -97,6 +106,11 @@ def _tokens(docs: DataFrame) -> DataFrame:
             t[inner] = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(texts)), np.uint64, len(t) - len(ends))
             t[ends] = END
             one, which = _unique(t)
+            # the most frequent words get the smallest numbers
+            by = np.argsort(-np.bincount(which), kind="stable")
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            one, which = one[by], rank[which]
             train = np.array([not held_out(i) for i in ids])
             held = np.array([0 if i is None else i for i in ids], np.int64)
             place = 2 * np.arange(len(ids), dtype=np.uint32) + np.array([i is None for i in ids])
@@ -123,10 +137,10 @@ class _Block:
 
     def __init__(self, row: dict) -> None:
         self.number, self.level = row["block"], row["level"]
-        self.words = np.frombuffer(row["a"], np.uint64)
-        self.t = np.frombuffer(row["b"], np.uint32).astype(np.int64)
-        self.lengths = np.frombuffer(row["c"], np.uint32).astype(np.int64)
-        self.ids, self.place = np.frombuffer(row["d"], np.int64), np.frombuffer(row["e"], np.uint32)
+        self.words = _unpack(row["a"], np.uint64)
+        self.t = _unpack(row["b"], np.uint32).astype(np.int64)
+        self.lengths = _unpack(row["c"], np.uint32).astype(np.int64)
+        self.ids, self.place = _unpack(row["d"], np.int64), _unpack(row["e"], np.uint32)
         held = [held_out(None if n & 1 else i) for i, n in zip(self.ids.tolist(), self.place.tolist(), strict=True)]
         self.train = ~np.repeat(np.array(held, bool), self.lengths)
         self.first = np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
@@ -136,13 +150,17 @@ class _Block:
         #: how often what stands here followed the context so far, in training texts; many where that was not asked
         self.before = np.full(len(self.t), MANY)
         if row["f"]:
-            state = np.frombuffer(row["f"], _STATE)
-            self.at, self.hash = state["at"].astype(np.int64), state["hash"].copy()
-            self.p[self.at], self.before[self.at] = state["p"], state["own"]
+            n = len(row["f"]) // 13
+            self.at = _unpack(row["f"][: 4 * n], np.uint32).astype(np.int64)
+            self.p[self.at] = _unpack(row["f"][4 * n : 12 * n], float)
+            self.before[self.at] = np.where(np.frombuffer(row["f"], np.uint8)[12 * n :], LEAST, 0)
+            self.hash = np.zeros(n, np.uint64)
+            for k in range(1, self.level + 1):
+                self.hash = _longer(self.hash, self.words[self.t[self.at - k]])
         self.context = _unique(self.hash)[1]
 
     def left(self) -> tuple:
-        """The row of what is still open, and this block as if read from it."""
+        """The row of what is still open."""
         doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         keep = np.zeros(len(self.lengths), bool)
         keep[doc[self.at]] = True
@@ -151,12 +169,10 @@ class _Block:
         some = np.unique(self.t[inside])
         number = np.zeros(len(self.words), np.uint32)
         number[some] = np.arange(len(some))
-        state = np.empty(len(self.at), _STATE)
-        state["at"], state["hash"], state["p"], state["own"] = moved[self.at], self.hash, self.p[self.at], self.before[self.at]
+        often = (self.before[self.at] >= LEAST).astype(np.uint8)
+        state = np.frombuffer(_pack(moved[self.at].astype(np.uint32)) + _pack(self.p[self.at]) + _pack(often), np.uint8)
         arrays = (self.words[some], number[self.t[inside]], self.lengths[keep].astype(np.uint32), self.ids[keep], self.place[keep], state)
-        row = (TOKENS, self.number, self.level, 0, 0, *arrays)
-        self.__init__({"block": self.number, "level": self.level, **{k: x.tobytes() for k, x in zip("abcdef", arrays, strict=True)}})
-        return row
+        return (TOKENS, self.number, self.level, 0, 0, *arrays)
 
     def ask(self) -> tuple[np.ndarray, ...]:
         """Go to contexts that are a word longer. (hash of each context, how many pairs of it are sent, unsent training tokens;
@@ -238,7 +254,7 @@ def _judge(level: int, total: int, kinds: int):
         got = [r for b in batches for r in b.to_pylist()]
         if not got:
             return
-        read = lambda name, kind: [np.frombuffer(r[name], kind) for r in got]
+        read = lambda name, kind: [_unpack(r[name], kind) for r in got]
         hashes, sizes, words, counts = read("a", np.uint64), read("b", np.uint32), read("d", np.uint64), read("e", np.uint32)
         context_of = np.concatenate(hashes)
         one, context = _unique(context_of)
@@ -292,9 +308,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Questions about words are answered with their counts in training texts; and how many have any."""
     got = [r for b in batches for r in b.to_pylist()]
     if got:
-        words = [np.frombuffer(r["a"], np.uint64) for r in got]
+        words = [_unpack(r["a"], np.uint64) for r in got]
         some, number = _unique(np.concatenate(words))
-        counts = np.bincount(number, weights=np.concatenate([np.frombuffer(r["b"], np.uint32) for r in got])).astype(np.int64)
+        counts = np.bincount(number, weights=np.concatenate([_unpack(r["b"], np.uint32) for r in got])).astype(np.int64)
         yield _rows([(COUNT, 0, 0, 0, int((counts > 0).sum()))])
         at = 0
         for r, w in zip(got, words, strict=True):
@@ -308,22 +324,23 @@ def _ask_words(parts: int):
             for k in range(batch.num_rows):
                 block = _Block(batch.slice(k, 1).to_pylist()[0])
                 counts = np.bincount(block.t, weights=block.train, minlength=len(block.words)).astype(np.uint32)
-                # words are in the order of their hashes, so those of a task are together
-                to = _to(block.words) * parts >> 24
+                by = np.argsort(block.words)
+                words, counts = block.words[by], counts[by]
+                to = _to(words) * parts >> 24
                 some = np.unique(to)
                 cuts = zip(some.tolist(), np.searchsorted(to, some).tolist(), np.searchsorted(to, some, "right").tolist(), strict=True)
-                yield _rows([(QUESTION, block.number, 0, p, 0, block.words[a:b], counts[a:b]) for p, a, b in cuts])
+                yield _rows([(QUESTION, block.number, 0, p, 0, words[a:b], counts[a:b]) for p, a, b in cuts])
 
     return run
 
 
-def _advance(level: int, parts: int, total: int, kinds: int):
-    """Blocks, with answers to all that they asked since their rows were written, ask about contexts of ``level`` words. From the third
-    level on they also leave what is still open, and results of what is not. Beyond DEPTH nothing stays open."""
-    scale, keep = total + ADD * (kinds + 1), level > 2
+def _advance(level: int, parts: int, total: int, kinds: int, keep: bool):
+    """Blocks, with answers to all that they asked since their rows were written, ask about contexts of ``level`` words; or, with
+    ``keep``, leave what is still open, and results of what is not. Beyond DEPTH nothing stays open."""
+    scale = total + ADD * (kinds + 1)
 
     def read(rows: list, name: str, kind) -> np.ndarray:
-        return np.concatenate([np.frombuffer(r[name], kind) for r in rows])
+        return np.concatenate([_unpack(r[name], kind) for r in rows])
 
     def done(block: _Block, answers: list) -> Iterator[pa.RecordBatch]:
         by: dict[int, list] = {}
@@ -332,7 +349,9 @@ def _advance(level: int, parts: int, total: int, kinds: int):
         started, fresh = np.zeros(len(block.t), bool), block.level == 0
         started[block.at] = True
         if fresh:
-            block.before = read(by[0], "a", np.int64)[block.t]
+            counts = np.empty(len(block.words), np.int64)
+            counts[np.argsort(block.words)] = read(by[0], "a", np.int64)
+            block.before = counts[block.t]
             block.p = (block.before + ADD) / scale
             known, base = block.before > 0, np.log10(block.p)
         for n in range(block.level + 1, level):
@@ -350,7 +369,7 @@ def _advance(level: int, parts: int, total: int, kinds: int):
             yield _rows([(DONE, block.number, 0, 0, int(fresh), *results)])
             if len(block.at):
                 yield _rows([block.left()])
-        if len(block.at):
+        elif len(block.at):
             yield _questions(block, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,12 +394,12 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["block", "place", "log", "doc_id", "held_out", "n_tokens", "base", "known"]
     for batch in batches:
         for r in batch.to_pylist():
-            log, place = np.frombuffer(r["a"], float), np.frombuffer(r["b"], np.uint32)
+            log, place = _unpack(r["a"], float), _unpack(r["b"], np.uint32)
             n = len(log)
             if r["n"]:
-                ids = [None if k & 1 else i for i, k in zip(np.frombuffer(r["c"], np.int64).tolist(), place.tolist(), strict=True)]
-                rest = [pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(np.frombuffer(r["d"], np.int64))]
-                rest += [pa.array(np.frombuffer(r["e"], float)), pa.array(np.frombuffer(r["f"], float).astype(np.int64))]
+                ids = [None if k & 1 else i for i, k in zip(_unpack(r["c"], np.int64).tolist(), place.tolist(), strict=True)]
+                rest = [pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(_unpack(r["d"], np.int64))]
+                rest += [pa.array(_unpack(r["e"], float)), pa.array(_unpack(r["f"], float).astype(np.int64))]
             else:
                 rest = [pa.nulls(n, k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["block"])), pa.array(place.astype(np.int64)), pa.array(log), *rest], names=names)
@@ -402,26 +421,27 @@ def score(docs: DataFrame) -> DataFrame:
     parts = 2 * tasks
 
     def exchanged(questions: DataFrame, how, name: str) -> DataFrame:
-        return save(questions.where(F.col("kind") == QUESTION).repartition(tasks, "part").mapInArrow(how, _ROW), name)
+        return save(questions.repartition(tasks, "part").mapInArrow(how, _ROW), name)
 
-    def advanced(level: int, kinds: int, *rows: DataFrame) -> DataFrame:
+    def advanced(level: int, kinds: int, keep: bool, *rows: DataFrame) -> DataFrame:
         together = reduce(DataFrame.unionByName, rows).where(F.col("kind") <= ANSWER)
         dealt = together.repartition(tasks, "block").sortWithinPartitions("block", "kind")
-        return dealt.mapInArrow(_advance(level, parts, total, kinds), _ROW)
+        return dealt.mapInArrow(_advance(level, parts, total, kinds, keep), _ROW)
 
     answers = [exchanged(first.mapInArrow(_ask_words(parts), _ROW), _count_words, "counts")]
     kinds = int(answers[0].where(F.col("kind") == COUNT).agg(F.sum("n")).first()[0] or 0)
     for level in (1, 2):
-        answers.append(exchanged(advanced(level, kinds, first, *answers), _judge(level, total, kinds), "answers"))
+        answers.append(exchanged(advanced(level, kinds, False, first, *answers), _judge(level, total, kinds), "answers"))
     left, finished = first, []
     for level in range(3, DEPTH + 2):
-        now = save(advanced(level, kinds, left, *answers), "left")
+        # tables that answers were heard from go; what is open after them is a table of its own
+        now = save(advanced(level, kinds, True, left, *answers), "left")
         finished.append(save(now.where(F.col("kind") == DONE), "done"))
         discard(left, *answers)
         left, answers = now, []
-        if not now.where(F.col("kind") == QUESTION).limit(1).count():
+        if level > DEPTH or not now.where(F.col("kind") == TOKENS).limit(1).count():
             break
-        answers = [exchanged(now, _judge(level, total, kinds), "answers")]
+        answers = [exchanged(advanced(level, kinds, False, left), _judge(level, total, kinds), "answers")]
     discard(left, *answers)
     columns = "block long, place long, log double, doc_id long, held_out boolean, n_tokens long, base double, known long"
     rows = reduce(DataFrame.unionByName, finished).mapInArrow(_results, columns)
