@@ -15,6 +15,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where that setting is absent (tests, one machine)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local") and sc.getCheckpointDir() is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vecspark-checkpoint-"))
     return named or sc.getCheckpointDir()
@@ -41,11 +43,22 @@ def _delete(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def written(spark: SparkSession) -> set[str]:
+    """Paths of the tables that ``save`` wrote in this session and that are still there."""
+    return set(_WRITTEN.get(id(spark.sparkContext), []))
+
+
+def remove(spark: SparkSession, paths: set[str]) -> None:
+    """Delete such tables; only once everything computed from them is written itself."""
+    for path in paths & written(spark):
+        _delete(spark, path)
+        _WRITTEN[id(spark.sparkContext)].remove(path)
+
+
 def discard(*saved: DataFrame) -> None:
     """Delete tables that ``save`` wrote; only once everything computed from them is written itself."""
     for df in saved:
-        _delete(df.sparkSession, df._vecspark_path)
-        _WRITTEN.get(id(df.sparkSession.sparkContext), []).remove(df._vecspark_path)
+        remove(df.sparkSession, {df._vecspark_path})
 
 
 def release(spark: SparkSession) -> int:
