@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecspark.llm.words import words
+from vecspark.llm.words import quoted, words
 from vecspark.runtime import checkpoint, save
 
 #: No document is taken more often, and no target exceeds this many times its source's size.
@@ -94,6 +94,8 @@ def tilts(cells: DataFrame, wanted: DataFrame, cap: float = CAP, base: float = S
         state = checkpoint(moved.select("source", "target", "source_size", "unit", "low", "high", F.when(stop, F.col("tilt")).otherwise(step).alias("tilt"), stop.alias("done")))
         if not state.where("NOT done").limit(1).count():
             break
+    else:
+        raise RuntimeError("tilts did not settle")
     return state.select("source", "source_size", "target", "unit", "tilt", (F.col("target") >= F.lit(cap) * F.col("source_size") * (1 - 1e-12)).alias("all"))
 
 
@@ -122,28 +124,53 @@ def _cell_copies(cells: DataFrame, solved: DataFrame, cap: float, base: float) -
 
 
 def copies(docs: DataFrame, columns: list[str], share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """Every row of ``docs`` (doc_id, source, text) with ``size``, ``source_size``, ``target`` and ``copies`` (0 to ``cap``), and ``columns``.
+    """``columns`` of every row of ``docs`` (doc_id, source, text) with ``size``, ``source_size``, ``target`` and ``copies`` (0 to
+    ``cap``). Columns with these names, in whatever case, are left out, as the new ones replace them.
 
     Null text has size 0; documents without words are never taken. Null sources are one source. Which documents of one source and size
-    get the extra copy is decided by a hash of doc_id, so reruns agree. Rows alike in everything may trade places. Empty in, empty out.
+    get the extra copy is decided by a hash of doc_id and text, so reruns agree. Rows alike in everything may trade places. Empty in,
+    empty out.
     """
-    sized = save(docs.select(*columns, *[c for c in ("doc_id", "source") if c not in columns], F.size(words(F.col("text"))).cast("long").alias("size")), "sizes")
+    added = ["size", "source_size", "target", "copies"]
+    kept = [c for c in columns if c.lower() not in added]
+    out = _copies(docs, kept, share, weights, cap)
+    return out.select(*(F.col(f"own{k}").alias(c) for k, c in enumerate(kept)), *added)
+
+
+def mix(docs: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """Each row of ``docs`` as often as ``copies`` says, with the columns of ``docs``, whatever their names."""
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    taken = _copies(docs, docs.columns, share, weights, cap).where("copies > 0").withColumn("time", times)
+    return taken.select(*(F.col(f"own{k}").alias(c) for k, c in enumerate(docs.columns)))
+
+
+def _copies(docs: DataFrame, columns: list[str], share: float, weights: tuple[float, ...], cap: int) -> DataFrame:
+    """As ``copies``, with the columns under the names own0, own1, ..."""
+    own = [f"own{k}" for k in range(len(columns))]
+    size = F.size(words(F.col("text"))).cast("long").alias("size")
+    sized = docs.select(*(F.col(quoted(c)).alias(n) for c, n in zip(columns, own, strict=True)), "doc_id", "source", size, F.xxhash64(F.lit(17), "doc_id", "text").alias("_h"))
+    sized = save(sized, "sizes")
     cells = checkpoint(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     wanted = checkpoint(targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share, weights, cap))
     full = cells.where("size > 0")
     solved = tilts(full, wanted.where("source_size > 0"), cap, min(share, cap * 0.999))
-    counted = checkpoint(_cell_copies(full, solved, cap, min(share, cap * 0.999)).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("long")))
-    s, c = sized.withColumn("_h", F.xxhash64(F.lit(17), "doc_id")).alias("s"), counted.alias("c")
-    ranked = s.join(c, _same_source(F.col("s.source"), F.col("c.source")) & (F.col("s.size") == F.col("c.size")), "left").select("s.*", "n", "whole", "extra", F.pmod(F.xxhash64(F.lit(3), "doc_id", "_h"), F.coalesce("chunks", F.lit(1))).alias("_chunk"))
+    counted = _cell_copies(full, solved, cap, min(share, cap * 0.999))
+    counted = checkpoint(counted.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("long")))
+    s, c = sized.alias("s"), counted.alias("c")
+    chunk = F.pmod(F.xxhash64(F.lit(3), "doc_id", "_h"), F.coalesce("chunks", F.lit(1))).alias("_chunk")
+    alike = _same_source(F.col("s.source"), F.col("c.source")) & (F.col("s.size") == F.col("c.size"))
+    ranked = s.join(c, alike, "left").select("s.*", "n", "whole", "extra", chunk)
     ranked = ranked.withColumn("_some", F.coalesce(F.col("extra") > 0, F.lit(False)))
-    # of a size with many documents, chunks are counted first and each is put in order by itself; equal ids beyond a chunk's size share its rank order
+    # of a size with many documents, chunks are counted first and each is put in order by itself
     per = checkpoint(ranked.where("_some").groupBy("source", "size", "_chunk").agg(F.count(F.lit(1)).alias("m")))
     before = Window.partitionBy("source", "size").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("first", F.coalesce(F.sum("m").over(before), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("source", "size", "_chunk").orderBy("_h", "doc_id"))
     r, p = ranked.where("_some").withColumn("_place", place).alias("r"), per.alias("p")
-    placed = r.join(p, _same_source(F.col("r.source"), F.col("p.source")) & (F.col("r.size") == F.col("p.size")) & (F.col("r._chunk") == F.col("p._chunk"))).select("r.*", (F.col("first") + F.col("_place") <= F.col("extra")).cast("long").alias("_one"))
+    alike = _same_source(F.col("r.source"), F.col("p.source")) & (F.col("r.size") == F.col("p.size")) & (F.col("r._chunk") == F.col("p._chunk"))
+    placed = r.join(p, alike).select("r.*", (F.col("first") + F.col("_place") <= F.col("extra")).cast("long").alias("_one"))
     plain = ranked.where("NOT _some").withColumn("_place", F.lit(0)).withColumn("_one", F.lit(0).cast("long"))
     out = placed.select(*plain.columns).unionByName(plain).withColumn("copies", F.coalesce(F.col("whole"), F.lit(0)) + F.col("_one"))
     w, o = wanted.alias("w"), out.alias("o")
-    return o.join(w, _same_source(F.col("o.source"), F.col("w.source"))).select(*[f"o.{c}" for c in columns], "o.size", "w.source_size", "w.target", "o.copies")
+    joined = o.join(w, _same_source(F.col("o.source"), F.col("w.source")))
+    return joined.select(*[f"o.{c}" for c in own], "o.size", "w.source_size", "w.target", "o.copies")

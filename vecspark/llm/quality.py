@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.words import WORD, let, words
+from vecspark.llm.words import WORD, let, quoted, words
 from vecspark.runtime import checkpoint, save
 
 #: Latin capital letters.
@@ -23,7 +23,7 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("exclamations", "n_exclaims > 0.2 * n_words", "n_words >= 10"),
     ("repeats", "n_repeat_words > 0.2 * n_words", "n_words >= 20"),
     ("repeated_lines", "n_dup_lines > 0.3 * n_lines", "n_lines >= 4"),
-    ("variety", "n_words <= 2000 AND n_distinct < 0.25 * n_words", "n_words >= 30 AND n_words <= 2000"),
+    ("variety", "n_distinct < least(0.25 * n_words, 11 * sqrt(n_words))", "n_words >= 30"),
     ("word_length", "word_chars < 2.5 * n_words OR word_chars > 14 * n_words", "n_words >= 10"),
     ("separators", "n_bars > 0.1 * n_words", "n_words >= 10"),
     ("sentences", "n_words >= 20 AND n_stops < 0.01 * n_words", "n_words >= 20"),
@@ -38,32 +38,31 @@ def _kept_only(text: Column, characters: str) -> Column:
 def _repeat_words(w: Column) -> Column:
     """Words inside 5-word windows that occur twice or more.
 
-    Most texts repeat no window: their window hashes are all distinct. In the others a window's hash and its position share one long, so
-    a primitive sort brings equal windows together. Positions take as many low bits as the text's length needs; the rest (55 bits for
-    500 words) tells windows apart.
+    Most texts repeat no window: their window hashes are all distinct. In the others hashes are sorted with their positions, which
+    brings equal windows together; then the words that their windows cover are counted in order.
     """
     n = F.size(w)
     zero = F.lit(0).cast("long")
 
-    def covered(keys: Column) -> Column:
-        m = F.call_function("shiftleft", F.lit(-1).cast("long"), F.length(F.bin(F.size(keys))).cast("int"))
-
-        def same(s: Column, j: Column, i: Column) -> Column:
-            return F.coalesce(F.get(s, j).bitwiseAND(m) == F.get(s, i).bitwiseAND(m), F.lit(False))
+    def union(s: Column) -> Column:
+        def same(j: Column, i: Column) -> Column:
+            return F.coalesce(F.get(s, j)["h"] == F.get(s, i)["h"], F.lit(False))
 
-        def union(s: Column) -> Column:
-            starts = F.filter(s, lambda x, j: same(s, j, j - 1) | same(s, j, j + 1))
-            return F.aggregate(
-                F.sort_array(F.transform(starts, lambda x: x.bitwiseAND(F.bitwise_not(m)))),
-                F.struct(F.lit(-5).cast("long").alias("p"), zero.alias("t")),
-                lambda a, x: F.struct(x.alias("p"), (a["t"] + F.least(F.lit(5).cast("long"), x - a["p"])).alias("t")),
-                lambda a: a["t"],
-            )
+        starts = F.filter(s, lambda x, j: same(j, j - 1) | same(j, j + 1))
+        return F.aggregate(
+            F.array_sort(F.transform(starts, lambda x: x["p"])),
+            F.struct(F.lit(-5).alias("p"), zero.alias("t")),
+            lambda a, x: F.struct(x.alias("p"), (a["t"] + F.least(F.lit(5), x - a["p"])).alias("t")),
+            lambda a: a["t"],
+        )
 
-        return let(F.sort_array(F.transform(keys, lambda x, i: x.bitwiseAND(m).bitwiseOR(i.cast("long")))), union)
+    def covered(keys: Column) -> Column:
+        return let(F.sort_array(F.transform(keys, lambda x, i: F.struct(x.alias("h"), i.alias("p")))), union)
 
-    keys = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2), F.get(w, i + 3), F.get(w, i + 4)))
-    return F.when(n < 6, zero).otherwise(let(keys, lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), zero).otherwise(covered(x))))
+    five = lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(5)))
+    keys = F.transform(F.sequence(F.lit(0), n - 5), five)
+    repeats = let(keys, lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), zero).otherwise(covered(x)))
+    return F.when(n < 6, zero).otherwise(repeats)
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -158,25 +157,27 @@ def posterior(model: list[float]) -> Column:
 def judge(docs: DataFrame, threshold: float = 0.5, keep_columns: list[str] | None = None) -> DataFrame:
     """Every row of ``docs`` with its counts, ``base_failed``, ``quality`` (posterior) and ``kept``.
 
-    ``keep_columns``: columns of ``docs`` to carry (default all). Null or empty texts have no words and fail. Repeated rows are
-    judged alike. An empty frame gives an empty frame.
+    ``keep_columns``: columns of ``docs`` to carry (default all); those with a name of the columns added here, in whatever case, are
+    left out, as these replace them. Null or empty texts have no words and fail. Repeated rows are judged alike. An empty frame gives
+    an empty frame.
     """
-    carried = docs.columns if keep_columns is None else keep_columns
-    voted = save(votes(features(docs.select(*{*carried, "text"}))).select(*carried, *(c for c in COUNTS if c not in carried), "_votes"), "votes")
+    carried = [c for c in (docs.columns if keep_columns is None else keep_columns) if c.lower() not in ADDED]
+    plain = docs.select(*map(quoted, {*carried, "text"}))
+    voted = save(votes(features(plain)).select(*map(quoted, carried), *COUNTS, "_votes"), "votes")
     model = estimate(voted)
-    return voted.withColumn("base_failed", base_failed()).withColumn("quality", posterior(model)).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).drop("_votes")
+    judged = voted.withColumn("base_failed", base_failed()).withColumn("quality", posterior(model))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).drop("_votes")
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bars", "n_exclaims", "n_stops", "n_capitals", "n_lines", "n_distinct")
 
 
+#: Names that are added, here or on the way.
+ADDED = (*COUNTS, "base_failed", "quality", "kept", "_votes", "_marks")
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    clash = [c for c in docs.columns if c in COUNTS or c in ("base_failed", "quality", "kept", "_votes", "_words", "_lines")]
-    hidden = docs
-    for c in clash:
-        hidden = hidden.withColumnRenamed(c, f"__own_{c}")
-    good = judge(hidden).where("kept").select(*hidden.columns)
-    for c in clash:
-        good = good.withColumnRenamed(f"__own_{c}", c)
-    return good.select(*docs.columns)
+    """The rows of ``docs`` that are kept, with the columns of ``docs``, whatever their names."""
+    names = {c: c if c.lower() == "text" else f"own{k}" for k, c in enumerate(docs.columns)}
+    good = judge(docs.select(*(F.col(quoted(c)).alias(n) for c, n in names.items()))).where("kept")
+    return good.select(*(F.col(n).alias(c) for c, n in names.items()))
