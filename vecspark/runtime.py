@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which a query's shuffle files go when it ends, rather than when the driver's garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: dict[int, list[str]] = {}
 
 
@@ -29,10 +31,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/vecspark-tables/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     _WRITTEN.setdefault(id(spark.sparkContext), []).append(path)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files once nothing refers to them any more
+    spark.sparkContext._jvm.System.gc()  # broadcasts and checkpoints that nothing refers to any more go as well
     out = spark.read.schema(df.schema).parquet(path)
     out._vecspark_path = path
     return out
