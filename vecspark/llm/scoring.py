@@ -36,8 +36,11 @@ from vecspark.runtime import discard, partitions_for, save
 
 #: Least count of a word after a context to be listed; words of the longest contexts; constant of the smoothing.
 LEAST, DEPTH, STRENGTH = 2, 8, 5.0
+#: Words of the contexts that blocks ask about. Tokens whose context goes on from there are few; they go, with what stands before them,
+#: to the task of that context, which takes them to the end.
+BY_BLOCK = 3
 #: Tokens of a block; pairs of a context and a word that one task holds.
-BLOCK, PAIRS = 1 << 20, 2_000_000
+BLOCK, PAIRS = 1 << 19, 1_000_000
 #: The end of a text, as a word.
 END = np.uint64(0x5DEECE66D1234567)
 ADD = 0.1
@@ -80,7 +83,7 @@ def _longer(h: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place of one of each value, number of each one's value), values in order."""
-    by = np.argsort(x, kind="stable")
+    by = np.argsort(x)
     new = np.ones(len(x), bool)
     new[1:] = x[by[1:]] != x[by[:-1]]
     number = np.empty(len(x), np.int64)
@@ -128,6 +131,7 @@ def _tokens(docs: DataFrame) -> DataFrame:
                         ids, texts, size, number = [], [], 0, number + 1
         if ids:
             yield out()
+        _WORDS.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ROW)
 
@@ -184,7 +188,7 @@ class _Block:
         keep[keep] &= self.before[self.at[keep] - 1] >= LEAST
         self.at, self.context, self.hash = self.at[keep], self.context[keep], self.hash[keep]
         earlier = self.t[self.at - n]
-        one, self.context = _unique(self.context * size + earlier)
+        one, self.context = _unique(earlier if n == 1 else self.context * size + earlier)
         context_hash = _longer(self.hash[one], self.words[earlier[one]])
         self.hash = context_hash[self.context]
         listed = self.before[self.at] >= LEAST
@@ -334,9 +338,9 @@ def _ask_words(parts: int):
     return run
 
 
-def _advance(level: int, parts: int, total: int, kinds: int, keep: bool):
-    """Blocks, with answers to all that they asked since their rows were written, ask about contexts of ``level`` words; or, with
-    ``keep``, leave what is still open, and results of what is not. Beyond DEPTH nothing stays open."""
+def _advance(level: int, parts: int, total: int, kinds: int, what: str):
+    """Blocks, with answers to all that they asked since their rows were written, ``ask`` about contexts of ``level`` words. Or they
+    leave results of what goes no further, and a row of what is ``open``, or send it on to be finished (``send``)."""
     scale = total + ADD * (kinds + 1)
 
     def read(rows: list, name: str, kind) -> np.ndarray:
@@ -358,19 +362,15 @@ def _advance(level: int, parts: int, total: int, kinds: int, keep: bool):
             block.ask()
             if n in by:
                 block.hear(*(read(by[n], name, kind) for name, kind in zip("abcd", (np.uint64, np.uint64, np.uint64, np.uint8), strict=True)))
-        if level > DEPTH:
-            block.at = block.at[:0]
-        if keep:
+        if what != "ask":
             results = [block.closed(started), block.place]
             if fresh:
                 doc = np.repeat(np.arange(len(block.lengths)), block.lengths)
                 sums = [np.bincount(doc, weights=x, minlength=len(block.lengths)) for x in (base, known)]
                 results += [block.ids, block.lengths, *sums]
             yield _rows([(DONE, block.number, 0, 0, int(fresh), *results)])
-            if len(block.at):
-                yield _rows([block.left()])
-        elif len(block.at):
-            yield _questions(block, parts)
+        if len(block.at):
+            yield _rows([block.left()]) if what == "open" else _questions(block, parts) if what == "ask" else _sent(block, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, answers = None, []
@@ -389,6 +389,60 @@ def _advance(level: int, parts: int, total: int, kinds: int, keep: bool):
     return run
 
 
+def _sent(block: _Block, parts: int) -> pa.RecordBatch:
+    """The tokens still open, a row for each part: hash of the context, word, probability, number of the text, whether it is for training,
+    and the words before the context, 0 where the text begins."""
+    by = np.argsort(_to(block.hash), kind="stable")
+    at, h = block.at[by], block.hash[by]
+    doc = np.repeat(np.arange(len(block.lengths)), block.lengths)[at]
+    history = np.zeros((len(at), DEPTH - BY_BLOCK), np.uint64)
+    for k in range(DEPTH - BY_BLOCK):
+        there = at - BY_BLOCK - 1 - k
+        inside = there >= block.first[at]
+        history[inside, k] = block.words[block.t[there[inside]]]
+    word, p, place, train = block.words[block.t[at]], block.p[at], block.place[doc], block.train[at].astype(np.uint8)
+    to = _to(h) * parts >> 24
+    starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist()
+    cut = lambda a, b: (h[a:b], word[a:b], p[a:b], place[a:b], train[a:b], history[a:b].ravel())
+    return _rows([(QUESTION, block.number, 0, int(to[a]), 0, *cut(a, b)) for a, b in zip(starts, [*starts[1:], len(to)], strict=True)])
+
+
+def _finish(total: int):
+    """Longer contexts of the tokens of some contexts, to the end: results of their texts."""
+    need = math.log(max(total, 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for b in batches for r in b.to_pylist()]
+        if not got:
+            return
+        read = lambda name, kind: np.concatenate([_unpack(r[name], kind) for r in got])
+        h, word, p, train = read("a", np.uint64), read("b", np.uint64), read("c", float).copy(), read("e", np.uint8).astype(float)
+        history = read("f", np.uint64).reshape(len(h), -1)
+        at = np.arange(len(h))
+        for k in range(history.shape[1]):
+            at = at[history[at, k] != 0]
+            if not len(at):
+                break
+            h[at] = _longer(h[at], history[at, k])
+            one, context = _unique(h[at])
+            some, pair = _unique(_longer(h[at], word[at]))
+            c, of, seen = np.bincount(pair, weights=train[at]), context[some], np.bincount(context, weights=train[at])
+            listed = c >= LEAST
+            flags, rest = _tested(of[listed], c[listed], p[at][some][listed], seen, need)
+            state = flags[context] & 1 > 0
+            own = np.where(listed, c, 0.0)[pair]
+            p[at] = np.where(state, (own + (rest[context] + STRENGTH) * p[at]) / (seen[context] + STRENGTH), p[at])
+            at = at[flags[context] & 2 > 0]
+        logs, first = np.log10(p), 0
+        for r in got:
+            places, doc = np.unique(_unpack(r["d"], np.uint32), return_inverse=True)
+            sums = np.bincount(doc, weights=logs[first : first + len(doc)])
+            first += len(doc)
+            yield _rows([(DONE, r["block"], 0, 0, 0, sums, places)])
+
+    return run
+
+
 def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text of a DONE row: its block and number, and what the row has of it."""
     names = ["block", "place", "log", "doc_id", "held_out", "n_tokens", "base", "known"]
@@ -426,26 +480,23 @@ def score(docs: DataFrame) -> DataFrame:
     def exchanged(questions: DataFrame, how, name: str) -> DataFrame:
         return save(questions.repartitionById(tasks, F.col("part").cast("int")).mapInArrow(how, _ROW), name)
 
-    def advanced(level: int, kinds: int, keep: bool, *rows: DataFrame) -> DataFrame:
+    def advanced(level: int, kinds: int, what: str, *rows: DataFrame) -> DataFrame:
         together = reduce(DataFrame.unionByName, rows).where(F.col("kind") <= ANSWER)
         dealt = together.repartitionById(tasks, place).sortWithinPartitions("block", "kind")
-        return dealt.mapInArrow(_advance(level, parts, total, kinds, keep), _ROW)
+        return dealt.mapInArrow(_advance(level, parts, total, kinds, what), _ROW)
 
     answers = [exchanged(first.mapInArrow(_ask_words(parts), _ROW), _count_words, "counts")]
     kinds = int(answers[0].where(F.col("kind") == COUNT).agg(F.sum("n")).first()[0] or 0)
-    for level in (1, 2):
-        answers.append(exchanged(advanced(level, kinds, False, first, *answers), _judge(level, total, kinds), "answers"))
-    left, finished = first, []
-    for level in range(3, DEPTH + 2):
-        # tables that answers were heard from go; what is open after them is a table of its own
-        now = save(advanced(level, kinds, True, left, *answers), "left")
-        finished.append(save(now.where(F.col("kind") == DONE), "done"))
-        discard(left, *answers)
-        left, answers = now, []
-        if level > DEPTH or not now.where(F.col("kind") == TOKENS).limit(1).count():
-            break
-        answers = [exchanged(advanced(level, kinds, False, left), _judge(level, total, kinds), "answers")]
-    discard(left, *answers)
+    for level in range(1, BY_BLOCK):
+        answers.append(exchanged(advanced(level, kinds, "ask", first, *answers), _judge(level, total, kinds), "answers"))
+    # the last of these lengths is reached by few tokens, so what is open is written once and read twice
+    left = save(advanced(BY_BLOCK, kinds, "open", first, *answers), "left")
+    discard(first, *answers)
+    last = exchanged(advanced(BY_BLOCK, kinds, "ask", left), _judge(BY_BLOCK, total, kinds), "answers")
+    sent = save(advanced(BY_BLOCK + 1, kinds, "send", left, last), "sent")
+    rest = exchanged(sent.where(F.col("kind") == QUESTION), _finish(total), "rest")
+    finished = [save(x.where(F.col("kind") == DONE), "done") for x in (left, sent, rest)]
+    discard(left, last, sent, rest)
     columns = "block long, place long, log double, doc_id long, held_out boolean, n_tokens long, base double, known long"
     rows = reduce(DataFrame.unionByName, finished).mapInArrow(_results, columns)
     whole = rows.groupBy("block", "place").agg(*(f(c).alias(c) for c, f in (("log", F.sum), ("doc_id", F.max), ("held_out", F.max), ("n_tokens", F.max), ("base", F.max), ("known", F.max))))
