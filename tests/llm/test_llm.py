@@ -328,21 +328,6 @@ def test_nearest(spark):
     assert nearest.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_nearest_among_many_equal_vectors(monkeypatch):
-    monkeypatch.setattr(nearest, "PAIRS", 7)
-    rng = np.random.default_rng(3)
-    kinds = rng.integers(-2, 3, size=(12, 4)).astype(float) + 0.5
-    vecs = np.concatenate([np.repeat(kinds[:1], 400, axis=0), kinds[rng.integers(0, 12, 300)], 2 * kinds[rng.integers(0, 12, 50)]])
-    ids = rng.permutation(len(vecs))
-    asked = ids % 50 == 0
-    got = nearest._top(ids[asked], vecs[asked], ids, vecs, 5)
-    norms = np.sqrt((vecs * vecs).sum(axis=1))
-    for q in np.flatnonzero(asked):
-        score = (vecs[q] * vecs).sum(axis=1) / (norms[q] * norms)
-        best = sorted((-s, i) for s, i in zip(score, ids) if i != ids[q])[:5]
-        assert [(-s, i) for s, i in best] == list(got[got["query_id"] == ids[q]][["score", "vec_id"]].itertuples(index=False, name=None))
-
-
 def test_chat(spark):
     rows = [(1, 1, "assistant", "</s>[INST] ~1 <|end|>\n"), (1, 0, "user", None), (2, None, None, "x"), (2, None, None, "x"), (None, 0, "assistant", "é")]
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_chats(chat.canonical_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), "conv_id"), "conv_id").collect()}
