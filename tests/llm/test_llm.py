@@ -162,8 +162,9 @@ def test_jaccard(spark, docs, odd, empty):
 
 def test_components(spark):
     chain = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(0, 60) if k != 30], "u string, v string")
-    got = {r["node"]: r["root"] for r in components.components(chain).collect()}
-    assert got["030"] == "000" and got["060"] == "031" and len(got) == 61
+    for few in (0, 1000):
+        got = {r["node"]: r["root"] for r in components.components(chain, few=few).collect()}
+        assert got["030"] == "000" and got["060"] == "031" and len(got) == 61
 
 
 def brute_repeats(rows, span=50):
