@@ -108,3 +108,93 @@ def test_more_options(spark):
     assert SearchOptions.of(spark, query_rescore=3).query_rescore == 3
     assert set(vector_sql.register(spark)) == set(vector_sql.FUNCTIONS)
     assert spark.sql("SELECT smallint_array_overlap(array(1S, NULL), array(2S, NULL))").first()[0] is False
+
+
+def test_rebuild_trains_the_quantizer(spark, tmp_path):
+    import numpy as np
+
+    v = np.random.default_rng(1).normal(3, 1, size=(300, 16))
+    df = rows(spark, [(k, x.tolist()) for k, x in enumerate(v)])
+    index = VectorIndex.create(df.limit(0), f"{tmp_path}/i", dims=16).insert(df)
+    assert not any(index.meta["mean"])
+    index = index.rebuild()
+    assert min(index.meta["mean"]) > 0.1
+    found = index.search_many(df.where("vec_id < 40"), 10).groupBy("query_id").count().collect()
+    truth = exact.knn_join(df.where("vec_id < 40"), df, 10, exclude_self=False).select("query_id", F.col("vec_id").alias("row_key"))
+    # 16 dimensions make coarse codes, so more candidates than usual are compared exactly
+    hits = index.search_many(df.where("vec_id < 40"), 10, query_rescore=120).join(truth, ["query_id", "row_key"]).count()
+    assert len(found) == 40 and hits >= 0.9 * 400
+
+
+@pytest.mark.parametrize("wanted", [0, 1, 2])
+def test_recall_with_labels(spark, tmp_path, wanted):
+    import numpy as np
+
+    rng = np.random.default_rng(wanted)
+    v = rng.normal(size=(600, 48))
+    labels = [sorted(set(rng.integers(0, 32, 3).tolist())) for _ in range(600)]
+    df = rows(spark, [(k, x.tolist(), l) for k, (x, l) in enumerate(zip(v, labels, strict=True))], True)
+    index = VectorIndex.create(df, f"{tmp_path}/i", labels="labels")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    asked = [(k, (v[k] + rng.normal(size=48)).tolist(), rng.integers(0, 32, wanted).tolist() if wanted else None) for k in range(100)]
+    # random directions have no near neighbours to speak of, so codes tell little
+    got = index.search_many(rows(spark, asked, True), 10, labels="labels" if wanted else None, query_rescore=120).collect()
+    hits = total = 0
+    for k, q, l in asked:
+        fits = [i for i in range(600) if not wanted or set(l) & set(labels[i])]
+        best = sorted(fits, key=lambda i: -float(unit[i] @ np.array(q)))[:10]
+        hits, total = hits + len(set(best) & {r["row_key"] for r in got if r["query_id"] == k}), total + len(best)
+    assert hits >= 0.9 * total
+
+
+def test_only_touched_shards_are_written_and_old_ones_go(spark, tmp_path):
+    df = rows(spark, [(k, [float(k), 1.0, 2.0]) for k in range(200)])
+    index = VectorIndex.create(df, f"{tmp_path}/i", options=IndexOptions(shard_rows=20))
+    assert index.meta["shards"] == 10 and set(index.meta["files"].values()) == {1}
+    index = index.insert(rows(spark, [(1000, [1.0, 2.0, 3.0])]))
+    assert sorted(index.meta["files"].values()).count(2) == 1 and index.meta["last_change"]["shards"] == 1
+    index = index.delete(df.where("vec_id = 5"))
+    assert index.meta["last_change"] == {"kind": "delete", "removed": 1, "left": 200, "shards": 1}
+    for _ in range(2):
+        index = index.rebuild()
+    assert {p.name for p in (tmp_path / "i" / "shards").iterdir()} == {f"{v:08d}" for v in (4, 5)}
+    assert index.scan([0.0, 1.0, 2.0]).count() == 200 and set(index.meta["seconds"]) == {"train", "build"}
+
+
+def test_progress_is_told(spark, tmp_path):
+    told = []
+    VectorIndex.create(rows(spark, [(1, [1.0, 2.0])]), f"{tmp_path}/i", progress=lambda phase, seconds: told.append((phase, seconds >= 0)))
+    assert told == [("train", True), ("build", True), ("publish", True)]
+
+
+def test_second_writer_starts_over(spark, tmp_path):
+    index = VectorIndex.create(rows(spark, [(1, [1.0, 2.0])]), f"{tmp_path}/i")
+    index.insert(rows(spark, [(2, [2.0, 1.0])]))
+    later = index.insert(rows(spark, [(3, [2.0, 2.0])]))  # still at the first version
+    assert later.scan([1.0, 1.0]).count() == 3
+
+
+def test_wrong_dimensions(spark, tmp_path):
+    index = VectorIndex.create(rows(spark, [(1, [1.0, 2.0])]), f"{tmp_path}/i")
+    with pytest.raises(ValueError):
+        index.search([1.0, 2.0, 3.0])
+    with pytest.raises(ValueError):
+        index.insert(rows(spark, [(2, [1.0])]))
+    index.drop()
+    assert not (tmp_path / "i").exists()
+
+
+def test_statistics_and_pages(spark, tmp_path):
+    df = rows(spark, [(k, [float(k % 17), float(k)]) for k in range(120)])
+    index = VectorIndex.create(df, f"{tmp_path}/i", options=IndexOptions(metric=Metric.L2, shard_rows=50))
+    told = index.statistics([3.0, 3.0], 10).first()
+    assert told["shards"] == 3 and told["returned"] == 10 and told["exact"] == 3 * 40 and told["candidates"] >= told["exact"]
+    keys = [[r["row_key"] for r in p.orderBy("distance", "row_key").collect()] for p in index.pages([3.0, 3.0], 50)]
+    assert [len(x) for x in keys] == [50, 50, 20] and sum(keys, []) == [r["row_key"] for r in index.scan([3.0, 3.0]).collect()]
+
+
+def test_label_helpers(spark):
+    from vecspark.functions import labels_is_empty
+
+    df = spark.createDataFrame([(1, [1]), (2, []), (3, None), (4, [None])], "id int, a array<smallint>")
+    assert [r[0] for r in df.orderBy("id").select(labels_is_empty("a")).collect()] == [False, True, True, True]

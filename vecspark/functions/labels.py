@@ -29,3 +29,8 @@ def labels_overlap(a, b) -> Column:
 def labels_contain_intersection(whole, a, b) -> Column:
     """Does ``whole`` hold every label that ``a`` and ``b`` share?"""
     return F.size(F.array_except(F.array_intersect(label_set(a), label_set(b)), label_set(whole))) == 0
+
+
+def labels_is_empty(labels) -> Column:
+    """Is no label left? Null arrays and arrays of nulls are empty."""
+    return F.size(labels_normalize(labels)) == 0

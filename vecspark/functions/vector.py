@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -37,6 +38,13 @@ def l2_sq(a, b) -> Column:
     return _fold(F.zip_with(vector(a), vector(b), lambda x, y: (x - y) * (x - y)))
 
 
+def l2_sq_few(a, b, dims: int) -> Column:
+    """As ``l2_sq``, for a known, small number of dimensions: one sum without a loop."""
+    a, b = vector(a), vector(b)
+    terms = [(a[k] - b[k]) * (a[k] - b[k]) for k in range(dims)]
+    return sum(terms[1:], terms[0]) if terms else F.lit(0.0)
+
+
 def l2(a, b) -> Column:
     return F.sqrt(l2_sq(a, b))
 
@@ -46,9 +54,16 @@ def neg_inner_product(a, b) -> Column:
     return -dot(a, b)
 
 
+def _length(v) -> Column:
+    """The norm; of a given sequence it is computed here, once, and not for every row."""
+    if isinstance(v, Column | str):
+        return norm(v)
+    return F.lit(math.sqrt(math.fsum(float(x) ** 2 for x in v)))
+
+
 def cosine(a, b) -> Column:
     """1 - cosine similarity, from 0 to 2; NaN if either vector is zero."""
-    size = norm(a) * norm(b)
+    size = _length(a) * _length(b)
     return F.when(size == 0, F.lit(float("nan"))).otherwise(F.greatest(F.lit(0.0), 1 - dot(a, b) / F.nullif(size, F.lit(0.0))))
 
 

@@ -1,6 +1,6 @@
 """A navigable proximity graph of one shard, in numpy: search, pruning, insertion.
 
-Points are either vectors or arrays of levels; the distance is chosen with them. Nodes are numbered by insertion.
+Points are either vectors or packed codes; the distance is chosen with them. Nodes are numbered by insertion.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ TINY = float(np.finfo(np.float32).eps)
 
 
 def distances(kind: str, points: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """cosine (of unit vectors), l2 (squared), ip (negated) or levels (sum of differences)."""
-    if kind == "levels":
-        return np.abs(points.astype(np.int32) - q.astype(np.int32)).sum(axis=1).astype(float)
+    """cosine (of unit vectors), l2 (squared), ip (negated) or code (differing bits of packed words)."""
+    if kind == "code":
+        return np.bitwise_count(points ^ q).sum(axis=1, dtype=np.int64).astype(float)
     if kind == "l2":
         return ((points - q) ** 2).sum(axis=1)
     d = points @ q
@@ -100,18 +100,32 @@ class Graph:
     def _attach(self) -> None:
         """Links each node that the start cannot reach from the nearest one that it can reach and that has room."""
         seen = self._from(set(self.starts_for(None)))
-        for n in range(len(self.points)):
-            if n not in seen:
-                free = np.array([m for m in seen if len(self.neighbors[m]) < self.room], np.int64)
-                if len(free):
-                    self.neighbors[free[np.argmin(distances(self.kind, self.points[free], self.points[n]))]].append(n)
-                    seen |= self._from({n})
-
-    def _from(self, seen: set[int]) -> set[int]:
+        lost = [n for n in range(len(self.points)) if n not in seen]
+        if not lost:
+            return
+        free = np.zeros(len(self.points), bool)
+        free[[m for m in seen if len(self.neighbors[m]) < self.room]] = True
+        reached = np.zeros(len(self.points), bool)
+        reached[list(seen)] = True
+        for n in lost:
+            if reached[n]:
+                continue
+            at = np.flatnonzero(free)
+            if not len(at):
+                return
+            m = int(at[np.argmin(distances(self.kind, self.points[at], self.points[n]))])
+            self.neighbors[m].append(n)
+            free[m] = len(self.neighbors[m]) < self.room
+            for x in self._from({n}, reached):
+                reached[x] = True
+                free[x] = len(self.neighbors[x]) < self.room
+
+    def _from(self, seen: set[int], known: np.ndarray | None = None) -> set[int]:
+        """Nodes that can be reached from ``seen``, and these; nothing beyond what is ``known`` already."""
         todo = deque(seen)
         while todo:
-            for m in self.neighbors[todo.popleft()]:
-                if m not in seen:
+            for m in map(int, self.neighbors[todo.popleft()]):
+                if m not in seen and (known is None or not known[m]):
                     seen.add(m)
                     todo.append(m)
         return seen
@@ -182,7 +196,7 @@ class Graph:
         lines = ["digraph g {"]
         for n, near in enumerate(self.neighbors):
             lines.append(f'  n{n} [label="{n} {sorted(self.labels[n])}"];')
-            if near:
+            if len(near):
                 d = distances(self.kind, self.points[near], self.points[n])
                 lines += [f'  n{n} -> n{m} [label="{x:.4g}"];' for m, x in zip(near, d.tolist(), strict=True)]
         return "\n".join([*lines, "}"])

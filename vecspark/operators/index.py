@@ -1,71 +1,52 @@
-"""A persistent approximate index: one graph a shard, kept as Parquet tables of numbered versions.
+"""A persistent approximate index: one graph a shard, each shard one row of one Parquet file, named by a numbered list of files.
 
-A version is written whole before ``meta`` names it, so readers see one version or the other. One writer at a time: creating the next version's folder fails for a
-second one.
+A change writes the shards that it touches and then a new list, so readers see one version or the other; files that neither this nor
+the version before names are deleted. Creating the same version twice fails, so of two writers at once the second one starts over.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions import labels_normalize, labels_overlap
-from vecspark.functions.vector import distance
+from vecspark.functions.vector import normalize
 from vecspark.operators import sbq
-from vecspark.operators.graph import Graph, Search, kind_of
+from vecspark.operators.shard import SHARD, Shard, batch, encode, shards
 from vecspark.options import IndexOptions, Layout, Metric, SearchOptions
+from vecspark.runtime import save
 
-NODES = "shard int, node_id int, row_key long, vector array<float>, labels array<smallint>, neighbors array<int>, deleted boolean"
-
-
-def _points(vectors: np.ndarray, meta: dict) -> tuple[np.ndarray, str]:
-    """What the graph compares: vectors, or levels of the quantizer."""
-    metric, dims = Metric(meta["metric"]), meta["indexed"]
-    v = vectors[:, :dims].astype(float)
-    if metric == Metric.COSINE:
-        n = np.sqrt((v * v).sum(axis=1, keepdims=True))
-        v = np.where(n * n < 1.2e-7, v, v / np.maximum(n, 1e-30))
-    if meta["layout"] == Layout.PLAIN:
-        return v, kind_of(metric)
-    mean, std, bits = np.asarray(meta["mean"]), np.asarray(meta["std"]), meta["bits"]
-    if bits == 1:
-        return (v > mean).astype(np.int8), "levels"
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z = np.where(std > 0, (v - mean) / std, np.where(v > mean, np.inf, -np.inf))
-    return np.clip(np.floor((z + 2) / (4.0 / (bits + 1))), 0, bits).astype(np.int8), "levels"
-
-
-def _graph(frame: pd.DataFrame, meta: dict) -> Graph:
-    """The stored graph of one shard, rows in order of node_id."""
-    points, kind = _points(np.asarray(frame["vector"].tolist(), np.float32).reshape(len(frame), -1), meta)
-    labels = [frozenset(x) for x in frame["labels"]] if meta["labelled"] else None
-    g = Graph(points, kind, meta["neighbors"], meta["list_size"], meta["max_alpha"], labels)
-    for n in range(len(frame)):
-        if g.start is None:
-            g.start = n
-        for x in g.labels[n]:
-            g.label_starts.setdefault(x, n)
-    if "neighbors" in frame:
-        g.neighbors = [list(map(int, x)) for x in frame["neighbors"]]
-    return g
+#: Queries that one pass takes to all shards: so many, of so many values at most. More are taken in further passes.
+QUERIES, VALUES = 4096, 1 << 23
+#: How often a writer that found its version taken starts over.
+ATTEMPTS = 5
+_FOUND = "query_id long, row_key long, distance double, graph_distance double, visits long, compared long, pulled long, rescored long"
 
 
 class VectorIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.meta = json.loads(spark.read.text(f"{self.path}/meta").orderBy(F.desc("value")).first()["value"].split("|", 1)[1])
+        newest = spark.read.text(f"{self.path}/meta").orderBy(F.desc("value")).first()["value"]
+        self.meta = json.loads(newest.split("|", 1)[1])
 
     # building
 
     @classmethod
-    def create(cls, df: DataFrame, path: str, vector: str = "embedding", key: str = "vec_id", labels: str | None = None, options: IndexOptions | None = None, dims: int | None = None) -> VectorIndex:
-        """Rows with a null vector are not indexed. ``dims`` is only needed for an empty frame."""
+    def create(
+        cls, df: DataFrame, path: str, vector: str = "embedding", key: str = "vec_id", labels: str | None = None, options: IndexOptions | None = None,
+        dims: int | None = None, progress: Callable[[str, float], None] | None = None,
+    ) -> VectorIndex:
+        """Rows with a null vector are not indexed. ``dims`` is only needed for an empty frame. ``progress`` is told each phase as it
+        ends, ``train``, ``build`` and ``publish``, and its seconds; ``meta["seconds"]`` keeps those of the first two."""
         options = options or IndexOptions()
         spark, path = df.sparkSession, path.rstrip("/")
         rows = cls._rows(df, vector, key, labels)
@@ -74,175 +55,321 @@ class VectorIndex:
         if not dims:
             raise ValueError("the number of dimensions is unknown")
         options.validate(dims, labels is not None)
-        indexed = options.indexed(dims)
         if rows.where(F.size("vector") != dims).limit(1).count():
             raise ValueError("vectors differ in dimensions")
-        mean, std = [0.0] * indexed, [float("nan")] * indexed
-        if options.layout != Layout.PLAIN and first:
-            v = F.slice("vector", 1, indexed).cast("array<double>")
-            from vecspark.functions.vector import normalize
-
-            trained = sbq.train(rows.select((normalize(v) if options.metric == Metric.COSINE else v).alias("embedding")))
-            mean, std = sbq.quantizer(trained)
         meta = {
-            "version": 0, "metric": int(options.metric), "layout": int(options.layout), "dims": dims, "indexed": indexed, "bits": options.bits(dims), "neighbors": options.neighbors, "list_size": options.search_list_size,
-            "max_alpha": options.max_alpha, "mean": mean, "std": [None if s != s else s for s in std], "labelled": labels is not None, "shards": max(1, -(-rows.count() // options.shard_rows)), "options": asdict(options) | {"metric": int(options.metric)},
+            "version": 0, "metric": int(options.metric), "layout": int(options.layout), "dims": dims, "indexed": options.indexed(dims),
+            "bits": options.bits(dims), "neighbors": options.neighbors, "list_size": options.search_list_size, "max_alpha": options.max_alpha,
+            "centred": options.centred, "labelled": labels is not None, "shards": options.shards(rows.count(), dims), "files": {},
+            "options": asdict(options) | {"metric": int(options.metric)}, "seconds": {},
         }
-        return cls._publish(spark, path, cls._built(rows, meta), meta)
+        return cls._publish(spark, path, rows, meta, progress)
 
     @staticmethod
     def _rows(df: DataFrame, vector: str, key: str, labels: str | None) -> DataFrame:
         kept = labels_normalize(labels) if labels else F.array().cast("array<smallint>")
-        return df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("row_key"), F.col(vector).cast("array<float>").alias("vector"), kept.alias("labels"))
+        row = [F.col(key).cast("long").alias("row_key"), F.col(vector).cast("array<float>").alias("vector"), kept.alias("labels")]
+        return df.where(F.col(vector).isNotNull()).select(*row)
 
     @staticmethod
-    def _usable(meta: dict) -> dict:
-        return meta | {"std": [0.0 if s is None else s for s in meta["std"]], "mean": meta["mean"]}
+    def _trained(rows: DataFrame, meta: dict) -> dict:
+        """Means and deviations of the rows; without rows, or without centring, zeros and nothing."""
+        indexed = meta["indexed"]
+        mean, std = [0.0] * indexed, [None] * indexed
+        if meta["layout"] != Layout.PLAIN and (meta["centred"] or meta["bits"] > 1) and rows.limit(1).count():
+            v = F.slice("vector", 1, indexed).cast("array<double>")
+            v = normalize(v) if meta["metric"] == Metric.COSINE else v
+            mean, std = sbq.quantizer(sbq.train(rows.select(v.alias("embedding"))))
+        return meta | {"mean": mean, "std": std}
 
     @classmethod
-    def _built(cls, rows: DataFrame, meta: dict) -> DataFrame:
-        held = cls._usable(meta)
+    def _publish(cls, spark: SparkSession, path: str, rows: DataFrame, meta: dict, progress: Callable | None = None) -> VectorIndex:
+        """A new version, trained and built from ``rows``."""
+        seconds, began = {}, time.time()
+
+        def over(phase: str) -> None:
+            nonlocal began
+            seconds[phase] = round(time.time() - began, 3)
+            began = time.time()
+            if progress:
+                progress(phase, seconds[phase])
+
+        meta = cls._trained(rows, meta)
+        over("train")
 
         def build(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values("row_key", kind="stable").reset_index(drop=True)
-            g = _graph(frame, held)
-            g.start, g.label_starts = None, {}
-            g.build()
-            return frame.assign(node_id=np.arange(len(frame), dtype=np.int32), neighbors=g.neighbors, deleted=False)[["shard", "node_id", "row_key", "vector", "labels", "neighbors", "deleted"]]
+            made, _ = Shard.empty(int(frame["shard"].iloc[0]), meta).grown(*_columns(frame, meta))
+            return pd.DataFrame([made.row()])
 
-        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row_key"), F.lit(meta["shards"])).cast("int"))
-        return dealt.groupBy("shard").applyInPandas(build, NODES)
+        dealt = rows.withColumn("shard", _shard_of(meta))
+        made = cls._write(spark, path, dealt.groupBy("shard").applyInPandas(build, SHARD), meta["version"] + 1)
+        over("build")
+        files = {str(s): meta["version"] + 1 for s in made}
+        out = cls._listed(spark, path, meta | {"files": files}, seconds)
+        over("publish")
+        return out
 
-    @classmethod
-    def _publish(cls, spark: SparkSession, path: str, nodes: DataFrame, meta: dict) -> VectorIndex:
-        meta = meta | {"version": meta["version"] + 1}
-        nodes.write.mode("error").parquet(f"{path}/nodes/{meta['version']:08d}")
-        spark.createDataFrame([(f"{meta['version']:08d}|{json.dumps(meta)}",)], "value string").coalesce(1).write.mode("append").text(f"{path}/meta")
-        return cls(spark, path)
+    @staticmethod
+    def _write(spark: SparkSession, path: str, rows: DataFrame, version: int) -> list[int]:
+        """Write shards; the numbers of those written."""
+        folder = f"{path}/shards/{version:08d}"
+        rows.select("*", F.col("shard").alias("at")).write.mode("error").partitionBy("at").parquet(folder)
+        return [r["shard"] for r in spark.read.schema(SHARD).parquet(folder).select("shard").collect()]
 
-    def nodes(self) -> DataFrame:
-        return self.spark.read.schema(NODES).parquet(f"{self.path}/nodes/{self.meta['version']:08d}")
+    @classmethod
+    def _listed(cls, spark: SparkSession, path: str, meta: dict, seconds: dict | None = None) -> VectorIndex:
+        old = meta["version"]
+        meta = meta | {"version": old + 1, "seconds": seconds or meta["seconds"]}
+        line = f"{meta['version']:08d}|{json.dumps(meta)}"
+        spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{path}/meta")
+        index = cls(spark, path)
+        index._sweep()
+        return index
+
+    def _sweep(self) -> None:
+        """Delete files that neither of the last two versions names."""
+        lists = self.spark.read.text(f"{self.path}/meta").orderBy(F.desc("value")).limit(2).collect()
+        named = {(int(v), int(s)) for r in lists for s, v in json.loads(r["value"].split("|", 1)[1])["files"].items()}
+        fs, hadoop = self._fs()
+        for folder in fs.listStatus(hadoop(f"{self.path}/shards")) if fs.exists(hadoop(f"{self.path}/shards")) else []:
+            version = int(folder.getPath().getName())
+            parts = [p.getPath() for p in fs.listStatus(folder.getPath()) if p.getPath().getName().startswith("at=")]
+            gone = [p for p in parts if (version, int(p.getName()[3:])) not in named]
+            if version <= self.meta["version"]:
+                for p in [folder.getPath()] if len(gone) == len(parts) else gone:
+                    fs.delete(p, True)
+
+    def _fs(self) -> tuple:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        return jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
 
     # reading
 
-    def _pull(self, query: Sequence[float] | None, n: int, width: int, labels: Sequence[int] | None) -> DataFrame:
-        """Up to ``n`` live rows of each shard in the order of its graph, with exact distances and counts of the work."""
-        meta, wanted = self._usable(self.meta), None if labels is None else frozenset(int(x) for x in labels if x is not None)
-        q = np.asarray(query, float)
-        if len(q) != meta["dims"]:
-            raise ValueError(f"the query has {len(q)} dimensions, the index {meta['dims']}")
-
-        def pull(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values("node_id").reset_index(drop=True)
-            g = _graph(frame, meta)
-            found = Search(g, _points(q[None], meta)[0][0], width, wanted)
-            rows = []
-            for d, node in found:
-                if not frame["deleted"][node]:
-                    rows.append((node, d))
-                    if len(rows) >= n:
-                        break
-            out = frame.loc[[r[0] for r in rows], ["row_key", "vector"]].assign(graph_distance=[r[1] for r in rows], visits=found.visits, compared=found.compared)
-            return out[["row_key", "vector", "graph_distance", "visits", "compared"]]
-
-        found = self.nodes().groupBy("shard").applyInPandas(pull, "row_key long, vector array<float>, graph_distance double, visits long, compared long")
-        return found.withColumn("distance", distance(meta["metric"], F.col("vector"), list(map(float, query)))).drop("vector")
-
-    def search(self, query: Sequence[float] | None, k: int = 10, labels: Sequence[int] | None = None, base: DataFrame | None = None, key: str = "vec_id", where: Column | str | None = None, **options) -> DataFrame:
+    def rows(self) -> DataFrame:
+        """The shards, a row each: only files of this version are read, and none is split or moved."""
+        at = [f"{self.path}/shards/{v:08d}/at={s}" for s, v in self.meta["files"].items()]
+        return self.spark.read.schema(SHARD).parquet(*at) if at else self.spark.createDataFrame([], SHARD)
+
+    def nodes(self) -> DataFrame:
+        """shard, node_id, row_key, labels, neighbors, deleted of every node."""
+        meta = self.meta
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for s, _ in shards(batches, meta):
+                for at in range(0, s.n, 4096):
+                    some = range(at, min(at + 4096, s.n))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([s.number] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array(s.keys[at : at + 4096]),
+                            pa.array([s.labels[k].tolist() for k in some], pa.list_(pa.int16())), pa.array([s.links[k].tolist() for k in some], pa.list_(pa.int32())),
+                            pa.array(s.deleted[at : at + 4096]),
+                        ],
+                        names=["shard", "node_id", "row_key", "labels", "neighbors", "deleted"],
+                    )
+
+        schema = "shard int, node_id int, row_key long, labels array<smallint>, neighbors array<int>, deleted boolean"
+        return self.rows().mapInArrow(unpack, schema)
+
+    def _allowed(self, base: DataFrame, key: str, where: Column | str | None) -> DataFrame:
+        """Shards with the keys of theirs that ``base`` has, where the condition holds: no more than a shard has rows."""
+        kept = base if where is None else base.where(where)
+        keys = kept.select(F.col(key).cast("long").alias("row_key")).distinct().withColumn("of", _shard_of(self.meta))
+        per = keys.groupBy("of").agg(F.collect_list("row_key").alias("allowed"))
+        rows = self.rows()
+        return rows.join(per, rows["shard"] == per["of"], "left").drop("of")
+
+    def _pull(self, queries: pd.DataFrame, n: int, width: int, keep: int | None, rescore: bool, allowed: DataFrame | None = None) -> DataFrame:
+        """Of each shard and query up to ``n`` live rows in the order of its graph, with exact distances; the best ``keep`` of them.
+        ``queries``: query_id, vector and, if labels matter, labels."""
+        meta = self.meta
+        asked = []
+        for r in queries.itertuples():
+            q = np.asarray(r.vector, float)
+            if len(q) != meta["dims"]:
+                raise ValueError(f"the query has {len(q)} dimensions, the index {meta['dims']}")
+            given = getattr(r, "labels", None)
+            asked.append((int(r.query_id), q, None if given is None else frozenset(int(x) for x in given if x is not None)))
+        shared = self.spark.sparkContext.broadcast(asked)
+
+        def pull(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for s, row in shards(batches, meta):
+                g = s.graph()
+                may = np.isin(s.keys, np.array(row["allowed"] or [], np.int64)) if "allowed" in row else None
+                out = []
+                for query_id, q, labels in shared.value:
+                    nodes, near, visits, compared, pulled = s.found(g, q, n, width, labels, may)
+                    d = s.distances(q, nodes) if rescore else near
+                    order = np.lexsort((s.keys[nodes], d))[:keep]
+                    for k in order.tolist():
+                        out.append((query_id, int(s.keys[nodes[k]]), float(d[k]), float(near[k]), visits, compared, pulled, len(nodes) if rescore else 0))
+                    if not len(nodes):
+                        out.append((query_id, None, None, None, visits, compared, pulled, 0))
+                    if len(out) > 10_000:
+                        yield batch([dict(zip(_NAMES, r, strict=True)) for r in out], _FOUND)
+                        out = []
+                yield batch([dict(zip(_NAMES, r, strict=True)) for r in out], _FOUND)
+
+        return (self.rows() if allowed is None else allowed).mapInArrow(pull, _FOUND)
+
+    def search_many(self, queries: DataFrame, k: int = 10, vector: str = "embedding", key: str = "vec_id", labels: str | None = None,
+                    base: DataFrame | None = None, base_key: str = "vec_id", where: Column | str | None = None, **options) -> DataFrame:
+        """query_id, row_key, distance, rank: of every query the ``k`` nearest found. Each pass reads the shards once for as many queries
+        as fit; what a shard passes on is ``k`` rows a query. Null queries take no part. ``base`` and ``where`` as in ``search``."""
+        o = SearchOptions.of(self.spark, **options)
+        fields = [F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("vector")]
+        asked = queries.where(F.col(vector).isNotNull()).select(*fields, *([F.col(labels).alias("labels")] if labels else []))
+        each = max(1, min(QUERIES, VALUES // self.meta["dims"]))
+        passes = max(1, -(-asked.count() // each))
+        block = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+        allowed = None if base is None and where is None else save(self._allowed(base, base_key, where), "allowed")
+        out = None
+        for p in range(passes):
+            some = asked.where(block == p).toPandas()
+            got = self._pull(some, max(o.query_rescore, k), max(o.query_search_list_size, 1), k, o.query_rescore > 0, allowed)
+            out = got if out is None else out.unionByName(got)
+        order = Window.partitionBy("query_id").orderBy("distance", "row_key")
+        ranked = out.where("row_key IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return ranked.select("query_id", "row_key", "distance", "rank")
+
+    def search(self, query: Sequence[float] | None, k: int = 10, labels: Sequence[int] | None = None, base: DataFrame | None = None,
+               key: str = "vec_id", where: Column | str | None = None, **options) -> DataFrame:
         """row_key, distance of the ``k`` nearest found, nearest first.
 
-        ``where`` filters rows of ``base`` after the search; more candidates are taken until ``k`` rows pass or the index is exhausted. Every shard gives ``query_rescore``
-        candidates or ``k``, whichever is more, and exact distances decide among them; with ``query_rescore`` 0 the graph's own distances do.
+        Every shard gives ``query_rescore`` candidates or ``k``, whichever is more, and exact distances decide among them; with
+        ``query_rescore`` 0 the graph's own distances do. With ``base`` only its rows come out, so rows that are gone there do not, and
+        with ``where`` only those for which it holds: each shard goes on until enough of its rows pass or no more come.
         """
         o = SearchOptions.of(self.spark, **options)
+        allowed = None
+        if base is not None:
+            allowed = self._allowed(base, key, where)
         if query is None:
             live = self.nodes().where("NOT deleted")
             live = live if labels is None else live.where(labels_overlap("labels", labels))
+            if base is not None:
+                kept = base if where is None else base.where(where)
+                live = live.join(kept.select(F.col(key).cast("long").alias("row_key")), "row_key", "left_semi")
             return live.select("row_key", F.lit(None).cast("double").alias("distance")).limit(k)
-        order = ["graph_distance", "row_key"] if o.query_rescore == 0 else ["distance", "row_key"]
-        n, total = max(o.query_rescore, k), self.nodes().count()
-        while True:
-            found = self._pull(query, n, max(o.query_search_list_size, 1), labels)
-            if where is not None:
-                found = found.join(base.where(where).select(F.col(key).cast("long").alias("row_key")), "row_key", "left_semi")
-            best = found.orderBy(*order).limit(k).select("row_key", "distance")
-            if where is None or n >= total or best.count() >= k:
-                return best
-            n = min(2 * n, total)
+        found = self._pull(_one(query, labels), max(o.query_rescore, k), max(o.query_search_list_size, 1), k, o.query_rescore > 0, allowed)
+        return found.where("row_key IS NOT NULL").orderBy("distance", "row_key").limit(k).select("row_key", "distance")
 
     def pages(self, query: Sequence[float], page: int = 100, labels: Sequence[int] | None = None, **options) -> Iterator[DataFrame]:
-        """The whole index in pages of ``page`` rows, near ones first, until every reachable live row has come."""
-        o, n, sent = SearchOptions.of(self.spark, **options), 0, None
-        total = self.nodes().count()
-        while n < total:
-            n += page
-            got = self._pull(query, n, o.query_search_list_size, labels).orderBy("distance", "row_key").select("row_key", "distance")
-            fresh = got if sent is None else got.join(sent, "row_key", "left_anti")
-            rows = fresh.orderBy("distance", "row_key").collect()
-            if not rows:
+        """The whole index in pages of ``page`` rows, near ones first, until every reachable live row has come. The graphs are walked
+        once; each page continues where the last one ended."""
+        found = save(self.scan(query, labels, **options), "scan")
+        last = None
+        while True:
+            left = found if last is None else found.where((F.col("distance") > last[0]) | ((F.col("distance") == last[0]) & (F.col("row_key") > last[1])))
+            out = left.orderBy("distance", "row_key").limit(page)
+            end = out.agg(F.max(F.struct("distance", "row_key")).alias("m")).first()["m"]
+            if end is None:
                 return
-            out = self.spark.createDataFrame(rows, "row_key long, distance double")
-            sent = out.select("row_key") if sent is None else sent.unionByName(out.select("row_key"))
+            last = tuple(end)
             yield out
 
     def scan(self, query: Sequence[float], labels: Sequence[int] | None = None, **options) -> DataFrame:
         """Every live row that the graphs reach, in order."""
         o = SearchOptions.of(self.spark, **options)
-        return self._pull(query, 2**31, o.query_search_list_size, labels).orderBy("distance", "row_key").select("row_key", "distance")
+        found = self._pull(_one(query, labels), 2**31, o.query_search_list_size, None, True)
+        return found.where("row_key IS NOT NULL").orderBy("distance", "row_key").select("row_key", "distance")
 
     def statistics(self, query: Sequence[float], k: int = 10, labels: Sequence[int] | None = None, **options) -> DataFrame:
-        """One row: shards searched, visits, distances compared, exact distances."""
+        """One row for a search: shards, nodes visited, distances compared, candidates pulled, exact distances, rows returned."""
         o = SearchOptions.of(self.spark, **options)
-        found = self._pull(query, max(o.query_rescore, k), o.query_search_list_size, labels)
-        return found.groupBy("visits", "compared").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("shards"), F.sum("visits").alias("visits"), F.sum("compared").alias("compared"), F.sum("n").alias("exact"))
+        # one row a shard is enough: its counts are in each
+        found = self._pull(_one(query, labels), max(o.query_rescore, k), o.query_search_list_size, 1, True)
+        sums = [F.sum(c).alias(n) for c, n in (("visits", "visits"), ("compared", "compared"), ("pulled", "candidates"), ("rescored", "exact"))]
+        return found.agg(F.count(F.lit(1)).alias("shards"), *sums, F.least(F.sum("rescored"), F.lit(k)).alias("returned"))
 
     # changing
 
+    def _changed(self, change: Callable[[VectorIndex], tuple[DataFrame, dict]]) -> VectorIndex:
+        """Publish the shards that ``change`` gives; start over with the newest version if another writer came first."""
+        now = self
+        for attempt in range(ATTEMPTS):
+            rows, stats = change(now)
+            version = now.meta["version"] + 1
+            try:
+                made = self._write(self.spark, self.path, rows, version)
+            except AnalysisException as e:
+                if "PATH_ALREADY_EXISTS" not in str(e) or attempt + 1 == ATTEMPTS:
+                    raise
+                time.sleep(0.2 * (attempt + 1))
+                now = VectorIndex(self.spark, self.path)
+                continue
+            files = now.meta["files"] | {str(s): version for s in made}
+            return self._listed(self.spark, self.path, now.meta | {"files": files, "last_change": stats | {"shards": len(made)}})
+        raise RuntimeError("no version was free")
+
     def insert(self, df: DataFrame, vector: str = "embedding", key: str = "vec_id", labels: str | None = None) -> VectorIndex:
-        """Adds rows to their shards' graphs; the quantizer stays. A key that is there already is replaced: its old node becomes a tombstone."""
-        meta = self._usable(self.meta)
-        fresh = self._rows(df, vector, key, labels if meta["labelled"] else None).withColumn("shard", F.pmod(F.xxhash64("row_key"), F.lit(meta["shards"])).cast("int"))
-
-        def add(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-            columns = ["shard", "node_id", "row_key", "vector", "labels", "neighbors", "deleted"]
-            old = old.sort_values("node_id").reset_index(drop=True)
-            if not len(new):
-                return old[columns]
-            new = new.sort_values("row_key", kind="stable").drop_duplicates("row_key", keep="last").reset_index(drop=True)
-            old["deleted"] = old["deleted"].astype(bool) | old["row_key"].isin(new["row_key"])
-            n = len(old)
-            new = new.assign(node_id=np.arange(n, n + len(new), dtype=np.int32), neighbors=[[] for _ in range(len(new))], deleted=False)
-            both = pd.concat([old[columns], new[columns]], ignore_index=True)
-            g = _graph(both, meta)
-            if n == 0:
-                g.start, g.label_starts = None, {}
-            else:
-                g.label_starts = {x: s for x, s in g.label_starts.items() if s < n}
-            for node in range(n, len(both)):
-                g.insert(node)
-            g.finish()
-            return both.assign(neighbors=g.neighbors)[columns]
-
-        grown = self.nodes().groupBy("shard").cogroup(fresh.groupBy("shard")).applyInPandas(add, NODES)
-        return self._publish(self.spark, self.path, grown, self.meta)
-
-    def _marked(self, gone: DataFrame) -> VectorIndex:
-        """``gone``: row_key. Their nodes stay in the graph but no longer come out."""
-        keys = gone.select(F.col("row_key").alias("_k")).distinct()
-        nodes = self.nodes().join(keys, F.col("row_key") == F.col("_k"), "left").withColumn("deleted", F.col("deleted") | F.col("_k").isNotNull()).drop("_k")
-        return self._publish(self.spark, self.path, nodes, self.meta)
+        """Adds rows to their shards' graphs, and writes those shards; the quantizer stays. A key that is there already is replaced: its
+        old node becomes a tombstone. Rows with a null vector are left out."""
+        fresh = self._rows(df, vector, key, labels if self.meta["labelled"] else None)
+        if fresh.where(F.size("vector") != self.meta["dims"]).limit(1).count():
+            raise ValueError("vectors differ in dimensions from the index")
+
+        def change(index: VectorIndex) -> tuple[DataFrame, dict]:
+            meta = index.meta
+
+            def add(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+                if not len(new):
+                    return pd.DataFrame([], columns=list(old.columns))
+                number = int(new["shard"].iloc[0])
+                was = Shard(old.iloc[0].to_dict(), meta) if len(old) else Shard.empty(number, meta)
+                return pd.DataFrame([was.grown(*_columns(new, meta))[0].row()])
+
+            dealt = fresh.withColumn("shard", _shard_of(meta))
+            touched = dealt.select("shard").distinct()
+            old = index.rows().join(F.broadcast(touched) if meta["shards"] <= 10_000 else touched, "shard", "left_semi")
+            return old.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInPandas(add, SHARD), {"kind": "insert"}
+
+        return self._changed(change)
+
+    def _marked(self, gone_of: Callable[[VectorIndex], DataFrame], kind: str) -> VectorIndex:
+        """``gone_of``: row_key of what goes. Their nodes stay in the graph but no longer come out; shards without any are not written."""
+
+        def change(index: VectorIndex) -> tuple[DataFrame, dict]:
+            meta = index.meta
+            live = index.nodes().where("NOT deleted").select("row_key", "shard")
+            gone = save(live.join(gone_of(index).select("row_key").distinct(), "row_key", "left_semi"), "gone")
+            per = gone.groupBy(F.col("shard").alias("of")).agg(F.collect_list("row_key").alias("allowed"))
+            rows = index.rows()
+
+            def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for s, row in shards(batches, meta):
+                    s.deleted = s.deleted | np.isin(s.keys, np.array(row["allowed"], np.int64))
+                    yield batch([s.row()], SHARD)
+
+            removed = gone.count()
+            return rows.join(per, rows["shard"] == per["of"]).drop("of").mapInArrow(mark, SHARD), {"kind": kind, "removed": removed, "left": live.count() - removed}
+
+        return self._changed(change)
 
     def delete(self, keys: DataFrame, key: str = "vec_id") -> VectorIndex:
-        return self._marked(keys.select(F.col(key).cast("long").alias("row_key")))
+        """``meta["last_change"]`` then tells how many nodes went and how many are left."""
+        return self._marked(lambda _: keys.select(F.col(key).cast("long").alias("row_key")), "delete")
 
     def vacuum(self, live: DataFrame, key: str = "vec_id") -> VectorIndex:
-        """Marks every node whose row is no longer in ``live``."""
-        return self._marked(self.nodes().where("NOT deleted").join(live.select(F.col(key).cast("long").alias("row_key")), "row_key", "left_anti").select("row_key"))
+        """Marks every node whose row is no longer in ``live``; ``meta["last_change"]`` has the counts."""
+        kept = live.select(F.col(key).cast("long").alias("row_key"))
+        return self._marked(lambda index: index.nodes().where("NOT deleted").select("row_key").join(kept, "row_key", "left_anti"), "vacuum")
 
     def rebuild(self) -> VectorIndex:
-        """A new graph of the live rows."""
-        rows = self.nodes().where("NOT deleted").select("row_key", "vector", "labels")
-        return self._publish(self.spark, self.path, self._built(rows, self.meta), self.meta)
+        """Trains the quantizer on the live rows and builds new graphs of them."""
+        meta = self.meta
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for s, _ in shards(batches, meta):
+                for at in range(0, s.n, 4096):
+                    some = [k for k in range(at, min(at + 4096, s.n)) if not s.deleted[k]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(s.keys[some]), pa.array(list(s.vectors[some]), pa.list_(pa.float32())), pa.array([s.labels[k].tolist() for k in some], pa.list_(pa.int16()))],
+                        names=["row_key", "vector", "labels"],
+                    )
+
+        rows = save(self.rows().mapInArrow(unpack, "row_key long, vector array<float>, labels array<smallint>"), "live")
+        options = replace(IndexOptions(**self.meta["options"]), metric=Metric(self.meta["metric"]))
+        return self._publish(self.spark, self.path, rows, meta | {"shards": options.shards(rows.count(), meta["dims"]), "files": {}})
 
     # looking inside
 
@@ -254,30 +381,58 @@ class VectorIndex:
 
     def invariants(self) -> DataFrame:
         """One row a shard: nodes, reachable, most neighbours, self links, repeated links."""
-        meta = self._usable(self.meta)
+        meta, names = self.meta, "shard int, nodes long, reachable long, most long, loops long, repeats long"
 
-        def look(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values("node_id").reset_index(drop=True)
-            g = _graph(frame, meta)
-            near = g.neighbors
-            return pd.DataFrame({"shard": [frame["shard"][0]], "nodes": [len(frame)], "reachable": [g.reachable()], "most": [max(map(len, near))], "loops": [sum(n in x for n, x in enumerate(near))], "repeats": [sum(len(set(x)) < len(x) for x in near)]})
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for s, _ in shards(batches, meta):
+                near = s.links.lists()
+                counts = (s.number, s.n, s.graph().reachable(), max(map(len, near)), sum(n in x for n, x in enumerate(near)), sum(len(set(x)) < len(x) for x in near))
+                yield batch([dict(zip([x.split()[0] for x in names.split(", ")], counts, strict=True))], names)
 
-        return self.nodes().groupBy("shard").applyInPandas(look, "shard int, nodes long, reachable long, most long, loops long, repeats long")
+        return self.rows().mapInArrow(look, names)
+
+    def code_bytes(self) -> int:
+        """Bytes of one stored code."""
+        return encode(np.zeros((1, self.meta["dims"])), self.meta).nbytes if self.meta["layout"] != Layout.PLAIN else 0
 
     def to_dot(self, shard: int = 0, limit: int = 1000) -> str:
         """One shard's graph for Graphviz; its first ``limit`` nodes."""
-        frame = self.nodes().where(F.col("shard") == shard).orderBy("node_id").limit(limit).toPandas()
-        g = _graph(frame, self._usable(self.meta))
-        g.neighbors = [[m for m in x if m < len(frame)] for x in g.neighbors]
+        rows = self.rows().where(F.col("shard") == shard).collect()
+        s = Shard(rows[0].asDict(), self.meta) if rows else Shard.empty(shard, self.meta)
+        g, n = s.graph(lists=True), min(limit, s.n)
+        g.neighbors = [[m for m in x if m < n] for x in g.neighbors[:n]]
         return g.to_dot()
 
     def explain(self) -> str:
-        return f"approximate: {self.meta['shards']} shards, {Layout(self.meta['layout']).name.lower()}, {Metric(self.meta['metric']).name.lower()}, version {self.meta['version']}"
+        """What a search does, and on how much."""
+        kind, metric = Layout(self.meta["layout"]).name.lower(), Metric(self.meta["metric"]).name.lower()
+        each = f"{self.code_bytes()} bytes a code" if self.code_bytes() else "whole vectors"
+        files = len(self.meta["files"])
+        return f"approximate {metric} search: {files} of {self.meta['shards']} shards hold rows, each one file and one task; {kind}, {each}; version {self.meta['version']}"
+
+    def register(self, name: str) -> None:
+        """Makes the index known to SQL: ``SELECT * FROM ann_search(TABLE(name), array(...), k) ORDER BY distance LIMIT k``."""
+        from vecspark.sql import register_search
+
+        register_search(self.spark)
+        self.rows().withColumn("meta", F.lit(json.dumps(self.meta))).createOrReplaceTempView(name)
 
     def drop(self) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        p.getFileSystem(conf).delete(p, True)
+        fs, hadoop = self._fs()
+        fs.delete(hadoop(self.path), True)
+
+
+_NAMES = [x.split()[0] for x in _FOUND.split(", ")]
+
+
+def _shard_of(meta: dict) -> Column:
+    return F.pmod(F.xxhash64("row_key"), F.lit(meta["shards"])).cast("int")
+
+
+def _one(query: Sequence[float], labels: Sequence[int] | None) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": [0], "vector": [list(map(float, query))], "labels": [None if labels is None else list(labels)]})
 
 
-Opener = Callable[[], VectorIndex]
+def _columns(frame: pd.DataFrame, meta: dict) -> tuple[np.ndarray, np.ndarray, list[frozenset]]:
+    vectors = np.asarray(frame["vector"].tolist(), np.float32).reshape(len(frame), meta["dims"])
+    return frame["row_key"].to_numpy(np.int64), vectors, [frozenset(int(y) for y in x) for x in frame["labels"]]

@@ -5,6 +5,7 @@ With more than one bit a dimension's level is written in unary, so the number of
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -27,11 +28,17 @@ def quantizer(trained: DataFrame) -> tuple[list[float], list[float]]:
 
 
 def levels(v, mean: Sequence[float], std: Sequence[float], bits: int) -> Column:
-    """Level of each dimension, 0 to ``bits``. One bit: is it above the mean? Without deviation only what is above the mean gets all bits."""
-    m, s = F.array(*map(F.lit, map(float, mean))), F.array(*map(F.lit, map(float, std)))
+    """Level of each dimension, 0 to ``bits``. One bit: is it above the mean? Without deviation only what is above the mean gets all bits.
+
+    ``mean`` empty: no mean is taken off, one bit says whether a dimension is above zero. The quantizer is one literal, a text that is
+    parsed once, rather than two expressions for each dimension.
+    """
+    if not len(mean):
+        return F.transform(vector(v), lambda x: (x > 0).cast("int"))
+    pairs = [{"m": float(m), "s": 0.0 if s is None or s != s else float(s)} for m, s in zip(mean, std, strict=True)]
+    pair = F.from_json(F.lit(json.dumps(pairs)), "array<struct<m: double, s: double>>")
     if bits == 1:
-        return F.zip_with(vector(v), m, lambda x, y: (x > y).cast("int"))
-    pair = F.arrays_zip(m.alias("m"), s.alias("s"))
+        return F.zip_with(vector(v), pair, lambda x, p: (x > p["m"]).cast("int"))
     width = 4.0 / (bits + 1)
 
     def level(x: Column, p: Column) -> Column:
@@ -41,6 +48,11 @@ def levels(v, mean: Sequence[float], std: Sequence[float], bits: int) -> Column:
     return F.zip_with(vector(v), pair, level)
 
 
+def code_words(dims: int, bits: int) -> int:
+    """Longs of a code."""
+    return -(-dims // (64 // bits))
+
+
 def code(level_array: Column, bits: int) -> Column:
     """Packed longs of 64 bits; each dimension takes ``bits`` of them, the low ones set first."""
     per = 64 // bits

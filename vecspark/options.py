@@ -37,6 +37,9 @@ AUTO_TWO_BITS_BELOW = 900
 DEFAULT_NEIGHBORS = 50
 BUILD_SLACK = 1.3
 
+#: Bytes of the vectors of a shard, which is one row of a file.
+SHARD_BYTES = 256 << 20
+
 
 @dataclass(frozen=True)
 class IndexOptions:
@@ -47,8 +50,10 @@ class IndexOptions:
     max_alpha: float = 1.2
     num_dimensions: int = 0
     num_bits_per_dimension: int = 0
-    #: Rows a shard holds on average; below it there is one shard.
+    #: Rows a shard holds on average; below it there is one shard. Shards of long vectors hold fewer, see SHARD_BYTES.
     shard_rows: int = 65_536
+    #: One bit a dimension: above the mean, or without centring above zero.
+    centred: bool = True
 
     @property
     def layout(self) -> Layout:
@@ -66,6 +71,9 @@ class IndexOptions:
             return 1
         return self.num_bits_per_dimension or (2 if self.indexed(dims) < AUTO_TWO_BITS_BELOW else 1)
 
+    def shards(self, rows: int, dims: int) -> int:
+        return max(1, -(-rows // max(1, min(self.shard_rows, SHARD_BYTES // (4 * dims)))))
+
     def validate(self, dims: int, labelled: bool = False) -> IndexOptions:
         if self.num_neighbors != -1:
             _within("num_neighbors", self.num_neighbors, 10, 1000)

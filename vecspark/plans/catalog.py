@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecspark import sql as vector_sql
-from vecspark.functions import hamming, labels_contain_intersection, labels_normalize, labels_overlap, norm, normalize, prefix
+from vecspark.functions import cosine_unit, hamming, l2_sq_few, labels_contain_intersection, labels_is_empty, labels_normalize, labels_overlap, norm, normalize, prefix, zero_vector
 from vecspark.functions.vector import cosine, distance, l2, neg_inner_product
 from vecspark.operators import exact, sbq
 from vecspark.operators.index import VectorIndex
@@ -201,7 +201,7 @@ SELECT vec_id, array_to_string(list_sort(list(name)), ',') AS names FROM (SELECT
 def label_names_join(spark, d):
     names = spark.range(16).select("id", F.concat(F.lit("name"), "id").alias("name"))
     each = _labelled(spark, d).select("vec_id", F.explode("labels").alias("id")).withColumn("id", F.col("id").cast("long"))
-    return each.join(F.broadcast(names), "id").groupBy("vec_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+    return each.join(names, "id").groupBy("vec_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
 
 
 @query(f"WITH {_EL}, wanted AS (SELECT list(r_regionkey::SMALLINT) AS ids FROM region WHERE r_regionkey < 2) SELECT vec_id FROM el, wanted WHERE coalesce(list_has_any(list_filter(labels, lambda x: x IS NOT NULL), ids), false)")
@@ -215,15 +215,19 @@ def full_scan(spark, d):
     return _top(_embeddings(spark, d), None)
 
 
-@query("SELECT count(*)::BIGINT AS n FROM embeddings")
+@query(f"WITH {_QV} SELECT vec_id, round({_COS}, 6) + 0.0 AS d FROM embeddings, q")
 def index_scan_count(spark, d):
-    return _top(_embeddings(spark, d), None).agg(F.count(F.lit(1)).alias("n"))
+    """Every row of the index, with its distance."""
+    e = _embeddings(spark, d)
+    return _index(spark, e).scan(_q(e)).select(F.col("row_key").alias("vec_id"), _r("distance").alias("d"))
 
 
 @query("SELECT vec_id FROM embeddings EXCEPT SELECT vec_id FROM embeddings WHERE vec_id % 10 <> 0")
 def missing_from_scan(spark, d):
+    """What the table has and a scan of the index lacks, as the index was made of some of the rows."""
     e = _embeddings(spark, d)
-    return e.select("vec_id").exceptAll(_top(e.where("vec_id % 10 <> 0 OR vec_id = 7"), None).where("vec_id % 10 <> 0").select("vec_id"))
+    index = _index(spark, e.where("vec_id % 10 <> 0"))
+    return e.select("vec_id").exceptAll(index.scan(_q(e)).select(F.col("row_key").alias("vec_id")))
 
 
 @query(f"WITH {_QV}, r AS (SELECT label, vec_id, round({_COS}, 6) + 0.0 AS d, row_number() OVER (PARTITION BY label ORDER BY {_COS}, vec_id)::INTEGER AS rank FROM embeddings, q) SELECT * FROM r WHERE rank <= 3")
@@ -288,28 +292,34 @@ def sbq_rescore_topk(spark, d):
     return sbq.search(e, _q(e), mean, std, 2).select("vec_id", _r("distance").alias("d"))
 
 
-@query(f"WITH {_QV}, u AS (SELECT vec_id, CASE WHEN vec_id % 10 = 3 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM embeddings) SELECT vec_id, round({_COS}, 6) + 0.0 AS d FROM u, q ORDER BY {_COS}, vec_id LIMIT 10")
+@query(f"WITH {_QV}, u AS (SELECT vec_id, CASE WHEN vec_id % 10 = 3 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM embeddings) SELECT vec_id, round({_COS}, 6) + 0.0 AS d FROM u, q")
 def vector_update_then_topk(spark, d):
+    """Some vectors are replaced in the index; then it is scanned."""
     e = _embeddings(spark, d)
-    changed = e.where("vec_id % 10 = 3").select("vec_id", F.transform("embedding", lambda x: -x).alias("new"))
-    return exact.nearest(e.join(changed, "vec_id", "left").withColumn("embedding", F.coalesce("new", "embedding")), _q(e), 10).select("vec_id", _r("distance").alias("d"))
+    changed = e.where("vec_id % 10 = 3").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    return _scanned(_index(spark, e).insert(changed), _q(e))
 
 
-@query(_top_sql(_COS, where="vec_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0)"))
+@query(f"WITH {_QV} SELECT vec_id, round({_COS}, 6) + 0.0 AS d FROM embeddings, q WHERE vec_id % 3 <> 0")
 def delete_then_topk(spark, d):
+    """Rows go from the index; then it is scanned."""
     e = _embeddings(spark, d)
-    return exact.nearest(e.join(e.where("vec_id % 3 = 0").select("vec_id"), "vec_id", "left_anti"), _q(e), 10).select("vec_id", _r("distance").alias("d"))
+    return _scanned(_index(spark, e).delete(e.where("vec_id % 3 = 0")), _q(e))
 
 
-@query("SELECT count(*)::BIGINT AS n FROM embeddings WHERE vec_id % 29 <> 0")
+@query(f"WITH {_QV} SELECT vec_id, round({_COS}, 6) + 0.0 AS d FROM embeddings, q WHERE vec_id % 29 <> 0")
 def null_vector_excluded(spark, d):
-    e = _embeddings(spark, d).withColumn("embedding", F.when(F.col("vec_id") % 29 != 0, F.col("embedding")))
-    return e.where("embedding IS NOT NULL").agg(F.count(F.lit(1)).alias("n"))
+    """An index of a table with null vectors, scanned."""
+    e = _embeddings(spark, d)
+    return _scanned(_index(spark, e.withColumn("embedding", F.when(F.col("vec_id") % 29 != 0, F.col("embedding")))), _q(e))
 
 
-@query("SELECT count(*)::BIGINT AS n FROM embeddings")
+@query("SELECT vec_id, NULL::DOUBLE AS d FROM embeddings WHERE vec_id % 4 <> 0")
 def null_query_scan(spark, d):
-    return exact.nearest(_embeddings(spark, d), None, None).agg(F.count(F.lit(1)).alias("n"))
+    """A null query gives every live row of the index, with no distance."""
+    e = _embeddings(spark, d)
+    index = _index(spark, e).delete(e.where("vec_id % 4 = 0"))
+    return index.search(None, 2**31 - 1).select(F.col("row_key").alias("vec_id"), F.col("distance").alias("d"))
 
 
 @query(_top_sql(_COS))
@@ -331,48 +341,202 @@ def sql_functions_topk(spark, d):
     return spark.sql("SELECT vec_id, round(dist, 6) + 0D AS d FROM (SELECT e.vec_id, vec_cosine(e.embedding, q.embedding) AS dist FROM vecspark_embeddings e CROSS JOIN (SELECT embedding FROM vecspark_embeddings WHERE vec_id = 7) q) ORDER BY dist, vec_id LIMIT 10")
 
 
-# the approximate index: one summary row each
+# the approximate index
+
+def _index(spark: SparkSession, df: DataFrame, dims: int | None = None, **o) -> VectorIndex:
+    """An index in the checkpoint folder; those of earlier calls in this session go, as their results have been read."""
+    at = f"{checkpoint_dir(spark).rstrip('/')}/vecspark-indexes/{uuid.uuid4().hex}"
+    return VectorIndex.create(df, at, options=IndexOptions(**o), labels="labels" if "labels" in df.columns else None, dims=dims)
+
+
+def _scanned(index: VectorIndex, q: list[float]) -> DataFrame:
+    return index.scan(q).select(F.col("row_key").alias("vec_id"), _r("distance").alias("d"))
+
 
-def _index(spark: SparkSession, df: DataFrame, **o) -> VectorIndex:
-    return VectorIndex.create(df, f"{checkpoint_dir(spark).rstrip('/')}/vecspark-indexes/{uuid.uuid4().hex}", options=IndexOptions(**o), labels="labels" if "labels" in df.columns else None)
+def _every(df: DataFrame, n: int = 50) -> DataFrame:
+    """The rows that searches take as queries: those whose id ``n`` divides."""
+    return df.where(F.col("vec_id") % n == 0)
 
 
-def _recall(df: DataFrame, index: VectorIndex, labels=None) -> float:
-    q = _q(df)
-    truth = {r["vec_id"] for r in exact.nearest(df, q, 10, labels=labels).collect()}
-    return len(truth & {r["row_key"] for r in index.search(q, 10, labels=labels).collect()}) / max(len(truth), 1)
+def _recalls(found: DataFrame, truth: DataFrame, least: float = 0.9) -> DataFrame:
+    """n_queries, n_true (of the exact search), and whether at least ``least`` of those were found on the average."""
+    same = truth.select("query_id", "vec_id").join(found.select("query_id", F.col("row_key").alias("vec_id")), ["query_id", "vec_id"])
+    n = truth.agg(F.countDistinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_true"))
+    return n.crossJoin(same.agg(F.count(F.lit(1)).alias("hits"))).select("n_queries", "n_true", (F.col("hits") >= least * F.col("n_true")).alias("good"))
 
 
 def _fact(spark: SparkSession, **values) -> DataFrame:
-    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
+    return spark.range(1).select(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in values.items()])
 
 
-@query("SELECT true AS good")
+def _recall_sql(k: int = 10, extra: str = "") -> str:
+    """Counts of the exact search by brute force; that recall is enough is what the query must show itself."""
+    return f"""WITH {_EL}, p AS (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY a.vec_id, b.vec_id) AS nth
+FROM el a, el b WHERE a.vec_id % 50 = 0 {extra})
+SELECT count(DISTINCT query_id)::BIGINT AS n_queries, count(*)::BIGINT AS n_true, true AS good FROM p WHERE nth <= {k}"""
+
+
+def _truth(e: DataFrame, k: int = 10, metric: Metric = Metric.COSINE) -> DataFrame:
+    return exact.knn_join(_every(e), e, k, metric=metric, exclude_self=False)
+
+
+@query(_recall_sql())
 def ann_topk_recall(spark, d):
+    """All rows whose id 50 divides are searched for at once, and compared with an exact search for each."""
     e = _embeddings(spark, d)
-    return _fact(spark, good=_recall(e, _index(spark, e)) >= 0.9)
+    return _recalls(_index(spark, e).search_many(_every(e), 10), _truth(e))
 
 
-@query("SELECT true AS good")
+@query(_recall_sql())
 def ann_plain_l2_recall(spark, d):
     e = _embeddings(spark, d)
     index = _index(spark, e, storage_layout="plain", metric=Metric.L2)
-    q = _q(e)
-    truth = {r["vec_id"] for r in exact.nearest(e, q, 10, metric=Metric.L2).collect()}
-    return _fact(spark, good=len(truth & {r["row_key"] for r in index.search(q, 10).collect()}) >= 9)
+    return _recalls(index.search_many(_every(e), 10), _truth(e, metric=Metric.L2))
 
 
-@query("SELECT true AS good")
+@query(_recall_sql(extra="AND len(list_filter(a.labels, lambda x: x IS NOT NULL)) > 0 AND list_has_any(list_filter(a.labels, lambda x: x IS NOT NULL), list_filter(b.labels, lambda x: x IS NOT NULL))"))
 def ann_label_recall(spark, d):
+    """Each query asks for rows that share a label with it."""
+    e = _labelled(spark, d)
+    asked = _every(e).where("size(array_compact(labels)) > 0")
+    found = _index(spark, e).search_many(asked, 10, labels="labels")
+    a, b = asked.alias("a"), e.alias("b")
+    # few queries: exact distances to the rows that share a label with one
+    pairs = a.join(b, labels_overlap("a.labels", F.col("b.labels"))).select(F.col("a.vec_id").alias("query_id"), "b.vec_id", cosine("a.embedding", "b.embedding").alias("distance"))
+    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return _recalls(found, pairs.withColumn("at", F.row_number().over(order)).where("at <= 10"))
+
+
+def _exact_of(where: str = "TRUE", ctes: str = _QV, source: str = "embeddings", cos: str = _COS) -> str:
+    return f"WITH {ctes} SELECT vec_id, round({cos}, 6) + 0.0 AS d FROM {source}, q WHERE {where} ORDER BY {cos}, vec_id LIMIT 10"
+
+
+def _found(index: VectorIndex, q: list[float], **o) -> DataFrame:
+    """With a wide search the ten nearest are the exact ones."""
+    got = index.search(q, 10, query_search_list_size=2000, query_rescore=1000, **o)
+    return got.select(F.col("row_key").alias("vec_id"), _r("distance").alias("d"))
+
+
+@query(_exact_of(f"{_has(3, 11)} AND vec_id % 2 = 0", f"{_EL}, {_QV}", "el"))
+def ann_label_and_filter_topk(spark, d):
+    """Labels inside the search, another condition on the rows it comes to."""
     e = _labelled(spark, d)
-    index = _index(spark, e)
-    return _fact(spark, good=min(_recall(e, index, [3]), _recall(e, index, [3, 11])) >= 0.9)
+    return _found(_index(spark, e), _q(e), labels=[3, 11], base=e, where="vec_id % 2 = 0")
+
+
+@query(_exact_of("vec_id % 7 <> 0"))
+def ann_recheck_topk(spark, d):
+    """Rows that have gone from the table but not yet from the index do not come out."""
+    e = _embeddings(spark, d)
+    return _found(_index(spark, e), _q(e), base=e.where("vec_id % 7 <> 0"))
+
+
+@query(_exact_of())
+def ann_prefix_topk(spark, d):
+    """Only 32 dimensions are indexed; whole vectors decide at last."""
+    e = _embeddings(spark, d)
+    return _found(_index(spark, e, num_dimensions=32), _q(e))
+
+
+@query(_exact_of())
+def ann_three_bits_topk(spark, d):
+    e = _embeddings(spark, d)
+    return _found(_index(spark, e, num_bits_per_dimension=3), _q(e))
+
+
+@query(_exact_of())
+def ann_uncentred_topk(spark, d):
+    """One bit a dimension, above zero or not: no mean is learned."""
+    e = _embeddings(spark, d)
+    return _found(_index(spark, e, num_bits_per_dimension=1, centred=False), _q(e))
+
+
+@query(_exact_of())
+def ann_empty_then_insert_topk(spark, d):
+    """An index made empty has no quantizer; building it anew trains one on what was inserted."""
+    e = _embeddings(spark, d)
+    index = _index(spark, e.limit(0), dims=len(_q(e))).insert(e)
+    return _found(index.rebuild(), _q(e))
+
+
+@query("SELECT vec_id, round(greatest(0.0, list_cosine_distance(embedding::DOUBLE[], qv)), 6) + 0.0 AS d FROM embeddings, (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 7) ORDER BY d, vec_id LIMIT 3")
+def ann_sql_topk(spark, d):
+    """The index in SQL, as a table function."""
+    e = _embeddings(spark, d)
+    _index(spark, e).register("vecspark_index")
+    q = ", ".join(f"{x!r}D" for x in map(float, _q(e)))
+    return spark.sql(f"SELECT row_key AS vec_id, round(distance, 6) + 0D AS d FROM ann_search(TABLE(vecspark_index), array({q}), 3) ORDER BY distance, row_key LIMIT 3")
+
+
+@query("SELECT (count(*) FILTER (vec_id % 5 = 0))::BIGINT AS removed, (count(*) FILTER (vec_id % 5 <> 0))::BIGINT AS remaining FROM embeddings")
+def vacuum_statistics(spark, d):
+    e = _embeddings(spark, d)
+    told = _index(spark, e).vacuum(e.where("vec_id % 5 <> 0")).meta["last_change"]
+    return _fact(spark, removed=F.lit(told["removed"]).cast("long"), remaining=F.lit(told["left"]).cast("long"))
+
+
+@query("SELECT 8::INTEGER AS one, 16::INTEGER AS two, 24::INTEGER AS three")
+def code_size(spark, d):
+    """Bytes of a code of 64 dimensions, with one bit each and with more."""
+    e = _embeddings(spark, d)
+    sizes = [_index(spark, e.limit(20), num_bits_per_dimension=b).code_bytes() for b in (1, 2, 3)]
+    return _fact(spark, **{n: F.lit(x).cast("int") for n, x in zip(("one", "two", "three"), sizes, strict=True)})
+
+
+@query(f"WITH {_EL} SELECT vec_id, len(list_filter(coalesce(labels, []), lambda x: x IS NOT NULL)) = 0 AS empty FROM el")
+def labels_empty(spark, d):
+    return _labelled(spark, d).select("vec_id", labels_is_empty("labels").alias("empty"))
+
+
+@query("SELECT vec_id, round(list_distance(embedding[1:4]::DOUBLE[], (SELECT embedding[1:4]::DOUBLE[] FROM embeddings WHERE vec_id = 7)) ** 2, 6) + 0.0 AS d FROM embeddings")
+def few_dimensions_l2(spark, d):
+    e = _embeddings(spark, d)
+    return e.select("vec_id", _r(l2_sq_few(prefix("embedding", 4), _q(e)[:4], 4)).alias("d"))
+
+
+@query("WITH u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings) SELECT a.vec_id, round(greatest(0.0, 1 - list_inner_product(a.u, b.u)), 6) + 0.0 AS d FROM u a, u b WHERE b.vec_id = 7")
+def unit_cosine(spark, d):
+    e = _embeddings(spark, d)
+    return e.select("vec_id", _r(cosine_unit(normalize("embedding"), normalize(_q(e)))).alias("d"))
+
+
+@query("SELECT 0::SMALLINT AS cosine, 1::SMALLINT AS l2, 2::SMALLINT AS ip")
+def distance_types(spark, d):
+    vector_sql.register(spark)
+    return spark.sql("SELECT distance_type_cosine() AS cosine, distance_type_l2() AS l2, distance_type_inner_product() AS ip")
+
+
+@query("SELECT range AS id, 0::DOUBLE AS total, 64::INTEGER AS n FROM range(10)")
+def generated_zero_vectors(spark, d):
+    """Rows of a series, each with a vector of zeros."""
+    v = zero_vector(64)
+    return spark.range(10).select("id", F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"), F.size(v).alias("n"))
+
+
+@query(f"WITH {_QV}, t AS (SELECT vec_id, embedding, TIMESTAMP '2024-01-01' + INTERVAL (vec_id) HOUR AS made, 'item ' || vec_id AS name FROM embeddings) SELECT vec_id, round({_COS}, 6) + 0.0 AS d FROM t, q WHERE made >= TIMESTAMP '2024-01-05' AND name < 'item 5' ORDER BY {_COS}, vec_id LIMIT 10")
+def time_and_text_filter_topk(spark, d):
+    e = _embeddings(spark, d)
+    t = e.withColumn("made", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, CAST(vec_id AS INT))")).withColumn("name", F.concat(F.lit("item "), "vec_id"))
+    return _top(t, where="made >= timestamp_ntz'2024-01-05' AND name < 'item 5'")
+
+
+@query(f"""WITH {_QV}, j AS (SELECT vec_id, embedding, '{{"label": ' || label || ', "tags": ["t' || (vec_id % 3) || '"]}}' AS payload FROM embeddings)
+SELECT vec_id, round({_COS}, 6) + 0.0 AS d, json_extract_string(payload, '$.tags[0]') AS tag FROM j, q WHERE json_extract(payload, '$.label')::INTEGER < 3 ORDER BY {_COS}, vec_id LIMIT 10""")
+def json_payload_topk(spark, d):
+    """A filter on, and a field of, a JSON column."""
+    e = _embeddings(spark, d)
+    payload = F.to_json(F.struct("label", F.array(F.concat(F.lit("t"), (F.col("vec_id") % 3).cast("string"))).alias("tags")))
+    j = e.withColumn("payload", payload).where(F.get_json_object("payload", "$.label").cast("int") < 3)
+    near = exact.nearest(j, _q(e), 10)
+    return near.select("vec_id", _r("distance").alias("d"), F.get_json_object("payload", "$.tags[0]").alias("tag"))
 
 
-@query("SELECT count(*)::BIGINT AS n FROM embeddings")
-def ann_full_scan_count(spark, d):
+@query("SELECT true AS index_is_named, true AS exact_sorts")
+def explain_plans(spark, d):
+    """The plan of an exact search is a top-k; an index says what a search of it does."""
     e = _embeddings(spark, d)
-    return _fact(spark, n=F.lit(_index(spark, e).scan(_q(e)).count()).cast("long"))
+    plan = exact.nearest(e, _q(e), 10)._jdf.queryExecution().executedPlan().toString()
+    return _fact(spark, index_is_named="shards" in _index(spark, e.limit(50)).explain(), exact_sorts="TakeOrderedAndProject" in plan)
 
 
 @query("SELECT (count(*) FILTER (vec_id % 4 <> 1))::BIGINT AS after_delete, (count(*) FILTER (vec_id % 4 <> 1 AND vec_id % 5 <> 0) + 1)::BIGINT AS after_vacuum_and_insert, (count(*) FILTER (vec_id % 4 <> 1 AND vec_id % 5 <> 0) + 1)::BIGINT AS after_rebuild FROM embeddings")
@@ -396,8 +560,7 @@ def start_nodes(spark, d):
     return _index(spark, _labelled(spark, d)).start_nodes().select("label", "node_id")
 
 
-@query("SELECT 10::BIGINT AS n, true AS filtered")
+@query(_exact_of("vec_id % 7 = 0"))
 def ann_post_filter(spark, d):
     e = _embeddings(spark, d)
-    got = _index(spark, e).search(_q(e), 10, base=e, where="vec_id % 7 = 0").collect()
-    return _fact(spark, n=F.lit(len(got)).cast("long"), filtered=all(r["row_key"] % 7 == 0 for r in got))
+    return _found(_index(spark, e), _q(e), base=e, where="vec_id % 7 = 0")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
 
 #: SQL function -> its parameters and body. Temporary SQL functions are inlined into plans; no Python runs.
 FUNCTIONS = {
@@ -25,3 +29,21 @@ def register(spark: SparkSession) -> list[str]:
     for name, (parameters, kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
     return list(FUNCTIONS)
+
+
+def register_search(spark: SparkSession) -> None:
+    """Makes the table function ``ann_search(TABLE(index), query, k)`` known: row_key, distance of the ``k`` nearest of each shard."""
+
+    class Searching:
+        def eval(self, row, query, k):
+            from vecspark.operators.shard import Shard
+
+            shard = Shard(row.asDict(), json.loads(row["meta"]))
+            q = np.asarray(query, float)
+            n = max(int(k), 50)
+            nodes, *_ = shard.found(shard.graph(), q, n, 100, None, None)
+            d = shard.distances(q, nodes)
+            for i in np.lexsort((shard.keys[nodes], d))[: int(k)]:
+                yield int(shard.keys[nodes[i]]), float(d[i])
+
+    spark.udtf.register("ann_search", udtf(Searching, returnType="row_key: long, distance: double"))
