@@ -103,15 +103,36 @@ def canonical_json(df: DataFrame, key: str, record: str) -> DataFrame:
     return flat.select(key, "layout", turns.alias("turns"))
 
 
+#: Fields of a row for one turn -> its role and text. Fields that are null are not there.
+ROW_MAPPINGS: dict[tuple[str, ...], tuple[str, str]] = {
+    ("role", "text"): ("role", "text"), ("role",): ("role", "''"), ("text",): ("''", "text"), (): ("''", "''"),
+}
+ROWS_BY_FINGERPRINT = {fingerprint(list(fields)): said for fields, said in ROW_MAPPINGS.items()}
+
+
+def row_fingerprint(fields: dict[str, Column]) -> Column:
+    """Each row's own fingerprint: the names of those fields that are not null."""
+    there = F.filter(F.array(*(F.when(c.isNotNull(), F.lit(n)) for n, c in sorted(fields.items()))), lambda x: x.isNotNull())
+    return F.substring(F.sha2(F.array_join(there, "\n"), 256), 1, 16)
+
+
 def canonical_rows(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(key, layout, turns) of a table with one row a turn. Turns of one number go by role, then text; null numbers come first.
+    """(key, layout, turns) of a table with one row a turn. Each row's fingerprint selects how its turn is read; ``layout`` joins those
+    that a conversation has. Turns of one number go by role, then text; null numbers come first. Rows alike in all count as often as
+    they come. Empty in, empty out. Other columns take no part.
 
     A conversation is one row of the result, so its turns meet in one place; rows with a null key are one conversation.
     """
-    record = F.struct(F.col(turn).alias("n"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    listed = df.groupBy(F.col(key).alias(key)).agg(F.sort_array(F.collect_list(record)).alias("_t"))
-    rows = listed.select(key, F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    return canonical(rows, key)
+    named = df.select(F.col(key).alias("_key"), F.col(turn).alias("_n"), F.col(role).alias("role"), F.col(text).alias("text"))
+    printed = named.withColumn("_layout", row_fingerprint({"role": F.col("role"), "text": F.col("text")}))
+    said = [F.lit(None).cast("string"), F.lit(None).cast("string")]
+    for layout, sql in ROWS_BY_FINGERPRINT.items():
+        said = [F.when(F.col("_layout") == layout, F.expr(x)).otherwise(y) for x, y in zip(sql, said, strict=True)]
+    record = F.struct(F.col("_n").alias("n"), said[0].alias("role"), said[1].alias("text"), F.col("_layout").alias("layout"))
+    listed = printed.groupBy(F.col("_key").alias(key)).agg(F.sort_array(F.collect_list(record)).alias("_t"))
+    layouts = F.array_join(F.array_sort(F.array_distinct(F.transform("_t", lambda t: t["layout"]))), ",")
+    turns = F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return listed.select(key, layouts.alias("layout"), turns.cast(TURNS).alias("turns"))
 
 
 def render(turns: Column) -> Column:
@@ -132,20 +153,37 @@ def parse(formatted: Column) -> Column:
     return F.transform(pieces, turn)
 
 
+def mask(turns: Column, role: str = "assistant") -> Column:
+    """Where the template's text has what this role says: first code point, from 0, and number of code points of each text, escaped."""
+    size = lambda x: F.length(escape(F.coalesce(x, F.lit(""))))
+    fixed = [F.lit(len(x)) for x in (START, MIDDLE, END)]
+    none = F.array().cast("array<struct<start:int,length:int>>")
+
+    def step(a: Column, t: Column) -> Column:
+        start = a["at"] + fixed[0] + size(t["role"]) + fixed[1]
+        span = F.array(F.struct(start.alias("start"), size(t["text"]).alias("length")))
+        spans = F.when(t["role"] == role, F.concat(a["spans"], span)).otherwise(a["spans"])
+        return F.struct((start + size(t["text"]) + fixed[2]).alias("at"), spans.alias("spans"))
+
+    return F.aggregate(turns, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda a: a["spans"])
+
+
 def format_chats(conversations: DataFrame, key: str) -> DataFrame:
-    """Adds ``formatted`` to (key, layout, turns). Conversations without turns give an empty text; null turns give null."""
-    return conversations.withColumn("formatted", render(F.col("turns")))
+    """Adds ``formatted`` and ``mask``, the code points of it that count for the loss, to (key, layout, turns). Conversations without
+    turns give an empty text and no mask; null turns give nulls."""
+    return conversations.withColumn("formatted", render(F.col("turns"))).withColumn("mask", mask(F.col("turns")))
 
 
 def read_back(formatted: DataFrame, key: str) -> DataFrame:
-    """Digests of what the formatted texts hold: all turns, and the text under the loss mask (what assistants say)."""
-    turns = formatted.select(key, "formatted", F.inline(F.array(F.struct(parse(F.col("formatted")).alias("_t")))))
-    loss = F.array_join(F.transform(F.filter("_t", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    return turns.select(
+    """Digests of what the formatted texts hold: all turns, and the text under the mask, unescaped."""
+    turns = formatted.select(key, "formatted", "mask", F.inline(F.array(F.struct(parse(F.col("formatted")).alias("_t")))))
+    masked = F.transform("mask", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["length"])))
+    said = turns.select("*", F.inline(F.array(F.struct(F.array_join(masked, "").alias("_loss")))))
+    return said.select(
         key,
         F.size("_t").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("_t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("_loss").cast("long").alias("loss_chars"),
+        F.sha2("_loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
