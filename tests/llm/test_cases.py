@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecspark.llm import chat, jaccard, mixing, nearest, quality, scoring, suffix, warc
+from vecspark.llm import chat, jaccard, mixing, nearest, packing, quality, scoring, suffix, warc
 
 DATA = "/root/testdata/sf0.001"
 
@@ -178,6 +178,27 @@ def test_variety_of_long_texts(spark):
     assert {r["_votes"][at] for r in got} == {"-"}
 
 
+def test_packing_betters_best_fit(spark):
+    """Triples that fill a sequence exactly, which best fit by decreasing size does not find."""
+    rng = np.random.default_rng(0)
+    sizes = []
+    for _ in range(100):
+        a = int(rng.integers(260, 490))
+        b = int(rng.integers(256, min(490, 1024 - a - 256)))
+        sizes += [a, b, 1024 - a - b]
+    rng.shuffle(sizes)
+    plain = packing.best_fit(packing._decreasing(list(range(300)), sizes, rng, 0.0), sizes, 1024, ([], []))
+    rows = [(k, k, 0, 0, int(n), 0) for k, n in enumerate(sizes)]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECES)).collect()
+    at = defaultdict(list)
+    for r in got:
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(got) == 300 and 100 <= len(at) <= len(plain[0]) - 2
+    for places in at.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and sum(places[-1]) <= 1024
+
+
 def test_nearest_odd_vectors(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(60, 4)).tolist()
