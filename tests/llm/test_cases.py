@@ -300,3 +300,28 @@ def test_pipeline_sequences_hold_all_that_the_mix_takes(spark):
     for r in packed:
         sizes[r["sequence_id"]] += r["length"]
     assert max(sizes.values()) <= 1024
+
+
+def test_warc_files(spark, tmp_path):
+    import gzip
+
+    def record(kind, n, date, http, url="http://ex.com/a", **more):
+        block = http.encode()
+        head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{n}>", "WARC-Target-URI": url, "WARC-Date": date, "Content-Length": len(block)} | more
+        return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    full = 'HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nETag: "x"\r\n\r\n<html>WARC/ in a text</html>'
+    again = 'HTTP/1.1 304 Not Modified\r\nETag: "x"\r\nDate: today\r\n\r\n'
+    made = [
+        record("warcinfo", 0, "2024-01-01T00:00:00Z", "software: none"), record("response", 1, "2024-01-01T00:00:00Z", full),
+        record("revisit", 2, "2024-01-02T00:00:00Z", again), record("revisit", 3, "no date", again), record("response", 4, "2024-01-03T00:00:00Z", "broken"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(made[:2]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, made[2:])))
+    (tmp_path / "c.warc").write_bytes(b"")
+    captures = warc.read(spark, str(tmp_path))
+    assert {(r["kind"], r["status"], r["time"]) for r in captures.collect()} == {
+        ("response", 200, 1704067200), ("revisit", 304, 1704153600), ("revisit", 304, None), ("response", None, 1704240000),
+    }
+    got = {r["status"]: r for r in warc.resolve(captures).collect()}
+    assert set(got) == {"resolved", "missing"} and dict(got["resolved"]["headers"]) == {"content-type": "text/html", "etag": '"x"', "date": "today"}

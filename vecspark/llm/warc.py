@@ -6,7 +6,12 @@ the response's, and of its headers those that a 304 may update replace the store
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import zlib
+from collections.abc import Iterator
+from datetime import datetime
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Headers that a 304 response may update, in lower case.
@@ -84,3 +89,83 @@ def captures_of(pages: DataFrame) -> DataFrame:
     stale = F.when(F.col("page_id") % 3 == 0, F.lit('"stale"')).otherwise(F.col("tag"))
     late = base.select((F.col("page_id") * 3 + 2).alias("id"), F.concat("url", F.lit("#again")).alias("url"), (time + 86_400).alias("time"), F.lit("revisit").alias("kind"), F.create_map(F.lit("etag"), stale, F.lit("date"), (time + 86_400).cast("string")).alias("headers"), "digest")
     return response.unionByName(soon).unionByName(late)
+
+
+CAPTURES = "record string, url string, time long, kind string, headers map<string,string>, digest string, status int"
+
+
+def _plain(content: bytes) -> bytes:
+    """A file's records; members of a compressed file are put together. What a broken member still holds is kept."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    out = []
+    while content:
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(content))
+        except zlib.error:
+            break
+        content = member.unused_data
+    return b"".join(out)
+
+
+def _fields(block: bytes) -> dict[str, str]:
+    """Header lines as lower-case names and values; of a repeated name the last counts."""
+    lines = block.decode("utf-8", "replace").replace("\r\n", "\n").split("\n")
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines) if v}
+
+
+def _cut(block: bytes) -> tuple[bytes, int]:
+    """What stands before the first empty line, and where it ends; -1 if there is none."""
+    ends = [(at, n) for sign in (b"\r\n\r\n", b"\n\n") if (at := block.find(sign)) >= 0 for n in [len(sign)]]
+    return (block[: min(ends)[0]], sum(min(ends))) if ends else (block, -1)
+
+
+def records(content: bytes) -> Iterator[tuple]:
+    """Captures in a file: responses and revisits. Other records, and what is no record, are passed over."""
+    content, at = _plain(content), 0
+    while (at := content.find(b"WARC/", at)) >= 0:
+        head, size = _cut(content[at : at + 65_536])
+        if size < 0:
+            return
+        told = _fields(head.partition(b"\n")[2])
+        begins = at + size
+        try:
+            length = int(told.get("content-length", ""))
+        except ValueError:
+            at = begins
+            continue
+        kind, body = told.get("warc-type", ""), content[begins : begins + length]
+        at = begins + length
+        if kind in ("response", "revisit"):
+            http, _ = _cut(body)
+            first, _, rest = http.partition(b"\n")
+            said = first.split()
+            status = int(said[1]) if len(said) > 1 and said[0].startswith(b"HTTP/") and said[1].isdigit() else None
+            try:
+                time = int(datetime.fromisoformat(told.get("warc-date", "").replace("Z", "+00:00")).timestamp())
+            except ValueError:
+                time = None
+            yield told.get("warc-record-id"), told.get("warc-target-uri"), time, kind, list(_fields(rest).items()), told.get("warc-payload-digest"), status
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Captures of the files at ``path``, plain or compressed: id (a hash of the record's own), url, time in seconds, kind, headers,
+    digest, status; as ``resolve`` takes them. A task reads a file. Broken dates are null; files without records give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32()]
+        names = [x.split()[0] for x in "record string,url string,time long,kind string,headers map,digest string,status int".split(",")]
+        for batch in batches:
+            for content in batch.column(0):
+                rows: list[tuple] = []
+                for row in records(content.as_py()):
+                    rows.append(row)
+                    if len(rows) == 2000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, CAPTURES)
+    return found.select(F.xxhash64("record").alias("id"), "url", "time", "kind", "headers", "digest", "status")
