@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecspark.llm import chat, jaccard, mixing, nearest, packing, quality, scoring, suffix, warc
+from vecspark.llm import chat, counting, jaccard, mixing, nearest, packing, quality, scoring, suffix, warc
 
 DATA = "/root/testdata/sf0.001"
 
@@ -325,3 +325,36 @@ def test_warc_files(spark, tmp_path):
     }
     got = {r["status"]: r for r in warc.resolve(captures).collect()}
     assert set(got) == {"resolved", "missing"} and dict(got["resolved"]["headers"]) == {"content-type": "text/html", "etag": '"x"', "date": "today"}
+
+
+def test_token_counts_line_by_line(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(60).collect()
+    rows = [tuple(r) for r in docs] + [(-1, None), (-2, ""), (-3, "\n"), (-4, "a\n\n\nb  c\n"), (-5, "é\n日本語 テスト\n\n😀"), (-4, "a\n\n\nb  c\n")]
+    got = Counter()
+    for r in counting.count_by_line(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[tuple(r)] += 1
+    want = Counter()
+    for doc_id, text in rows:
+        if not text:
+            want[doc_id, None, 0, 0, 0, 0] += 1
+            continue
+        lines, at = [], 0
+        for line in text.split("\n"):
+            lines.append((at, min(at + len(line) + 1, len(text))))
+            at += len(line) + 1
+        lines = [x for x in lines if x[0] < len(text)]
+        counts, offsets = [0] * len(lines), plain.encode(text, add_special_tokens=False).offsets
+        for a, b in offsets:
+            held = [min(b, y) - max(a, x) for x, y in lines]
+            point = [k for k, (x, y) in enumerate(lines) if a == b and x <= a <= y]
+            if max(held) > 0:
+                counts[held.index(max(held))] += 1
+            elif point:
+                counts[max(k for k in point if lines[k][0] <= a)] += 1
+        for k, (x, y) in enumerate(lines):
+            want[doc_id, k, x, y, counts[k], len(offsets)] += 1
+    assert got == want
