@@ -40,7 +40,7 @@ LEAST, DEPTH, STRENGTH = 2, 8, 5.0
 #: to the task of that context, which takes them to the end.
 BY_BLOCK = 3
 #: Tokens of a block; pairs of a context and a word that one task holds.
-BLOCK, PAIRS = 1 << 19, 1_000_000
+BLOCK, PAIRS = 1 << 20, 1_000_000
 #: The end of a text, as a word.
 END = np.uint64(0x5DEECE66D1234567)
 ADD = 0.1
@@ -86,8 +86,8 @@ def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     by = np.argsort(x)
     new = np.ones(len(x), bool)
     new[1:] = x[by[1:]] != x[by[:-1]]
-    number = np.empty(len(x), np.int64)
-    number[by] = np.cumsum(new) - 1
+    number = np.empty(len(x), np.int32)
+    number[by] = np.cumsum(new, dtype=np.int32) - 1
     return by[new], number
 
 
@@ -142,26 +142,27 @@ class _Block:
     def __init__(self, row: dict) -> None:
         self.number, self.level = row["block"], row["level"]
         self.words = _unpack(row["a"], np.uint64)
-        self.t = _unpack(row["b"], np.uint32).astype(np.int64)
+        self.t = _unpack(row["b"], np.uint32).view(np.int32)
         self.lengths = _unpack(row["c"], np.uint32).astype(np.int64)
         self.ids, self.place = _unpack(row["d"], np.int64), _unpack(row["e"], np.uint32)
         held = [held_out(None if n & 1 else i) for i, n in zip(self.ids.tolist(), self.place.tolist(), strict=True)]
         self.train = ~np.repeat(np.array(held, bool), self.lengths)
-        self.first = np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-        self.at = np.arange(len(self.t))
+        self.first = np.repeat((np.cumsum(self.lengths) - self.lengths).astype(np.int32), self.lengths)
+        self.at = np.arange(len(self.t), dtype=np.int32)
         self.hash = np.zeros(len(self.t), np.uint64)
+        self.context = np.zeros(len(self.t), np.int32)
         self.p = np.ones(len(self.t))
         #: how often what stands here followed the context so far, in training texts; many where that was not asked
         self.before = np.full(len(self.t), MANY)
         if row["f"]:
             n = len(row["f"]) // 13
-            self.at = _unpack(row["f"][: 4 * n], np.uint32).astype(np.int64)
+            self.at = _unpack(row["f"][: 4 * n], np.uint32).view(np.int32)
             self.p[self.at] = _unpack(row["f"][4 * n : 12 * n], float)
             self.before[self.at] = np.where(np.frombuffer(row["f"], np.uint8)[12 * n :], LEAST, 0)
             self.hash = np.zeros(n, np.uint64)
             for k in range(1, self.level + 1):
                 self.hash = _longer(self.hash, self.words[self.t[self.at - k]])
-        self.context = _unique(self.hash)[1]
+            self.context = _unique(self.hash)[1]
 
     def left(self) -> tuple:
         """The row of what is still open."""
@@ -188,21 +189,21 @@ class _Block:
         keep[keep] &= self.before[self.at[keep] - 1] >= LEAST
         self.at, self.context, self.hash = self.at[keep], self.context[keep], self.hash[keep]
         earlier = self.t[self.at - n]
-        one, self.context = _unique(earlier if n == 1 else self.context * size + earlier)
+        one, self.context = _unique(earlier if n == 1 else self.context * np.int64(size) + earlier)
         context_hash = _longer(self.hash[one], self.words[earlier[one]])
         self.hash = context_hash[self.context]
         listed = self.before[self.at] >= LEAST
-        place, number = _unique(self.context[listed] * size + self.t[self.at[listed]])
-        self.pair = np.full(len(self.at), -1)
+        place, number = _unique(self.context[listed] * np.int64(size) + self.t[self.at[listed]])
+        self.pair = np.full(len(self.at), -1, np.int32)
         pair_context = self.context[listed][place]
         counts = np.bincount(number, weights=self.train[self.at[listed]], minlength=len(place)).astype(np.uint32)
         unsent = np.bincount(self.context[~listed], weights=self.train[self.at[~listed]], minlength=len(one)).astype(np.uint32)
         # contexts in the order of the tasks that they go to; pairs by context
         self.order = np.argsort(_to(context_hash), kind="stable")
-        rank = np.empty(len(one), np.int64)
+        rank = np.empty(len(one), np.int32)
         rank[self.order] = np.arange(len(one))
         by = np.argsort(rank[pair_context], kind="stable")
-        back = np.empty(len(by), np.int64)
+        back = np.empty(len(by), np.int32)
         back[by] = np.arange(len(by))
         self.pair[listed] = back[number]
         self.context = rank[self.context]
