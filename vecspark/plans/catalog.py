@@ -14,7 +14,7 @@ from vecspark.functions.vector import cosine, distance, l2, neg_inner_product
 from vecspark.operators import exact, sbq
 from vecspark.operators.index import VectorIndex
 from vecspark.options import IndexOptions, Metric
-from vecspark.runtime import checkpoint_dir
+from vecspark.runtime import checkpoint_dir, remember
 from vecspark.sources import table, vectors_from_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -344,8 +344,8 @@ def sql_functions_topk(spark, d):
 # the approximate index
 
 def _index(spark: SparkSession, df: DataFrame, dims: int | None = None, **o) -> VectorIndex:
-    """An index in the checkpoint folder; those of earlier calls in this session go, as their results have been read."""
-    at = f"{checkpoint_dir(spark).rstrip('/')}/vecspark-indexes/{uuid.uuid4().hex}"
+    """An index in the checkpoint folder, until ``release``."""
+    at = remember(spark, f"{checkpoint_dir(spark).rstrip('/')}/vecspark-indexes/{uuid.uuid4().hex}")
     return VectorIndex.create(df, at, options=IndexOptions(**o), labels="labels" if "labels" in df.columns else None, dims=dims)
 
 

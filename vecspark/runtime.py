@@ -45,6 +45,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remember(spark: SparkSession, path: str) -> str:
+    """A folder that ``release`` is to delete, too."""
+    _WRITTEN.setdefault(id(spark.sparkContext), []).append(path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
@@ -69,7 +75,7 @@ def discard(*saved: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> int:
-    """Delete every table that ``save`` wrote in this session; frames that read them must not be used afterwards."""
+    """Delete every table that ``save`` wrote in this session, and what was to be remembered; frames that read them must not be used afterwards."""
     paths = _WRITTEN.pop(id(spark.sparkContext), [])
     for p in paths:
         _delete(spark, p)
