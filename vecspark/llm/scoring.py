@@ -22,7 +22,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.jaccard import _LOWER, _WORDS
+from vecspark.llm.hashing import word_hashes
 from vecspark.runtime import discard, partitions_for, save
 
 #: Least count of a word after a context to be listed; words of the longest contexts; constant of the smoothing.
@@ -97,16 +96,17 @@ def _tokens(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
-        texts: list = []
+        hashes: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         size, number = 0, TaskContext.get().partitionId() << 32
 
         def out() -> pa.RecordBatch:
-            lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+            lengths = np.concatenate(counts) + 1
             ends = np.cumsum(lengths) - 1
             t = np.empty(int(lengths.sum()), np.uint64)
             inner = np.ones(len(t), bool)
             inner[ends] = False
-            t[inner] = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(texts)), np.uint64, len(t) - len(ends))
+            t[inner] = np.concatenate(hashes)
             t[ends] = END
             one, which = _unique(t)
             # the most frequent words get the smallest numbers
@@ -122,16 +122,17 @@ def _tokens(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                for doc_id, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                    texts.append((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
-                    ids.append(doc_id)
-                    size += len(texts[-1]) + 1
-                    if size >= BLOCK:
-                        yield out()
-                        ids, texts, size, number = [], [], 0, number + 1
+                part = batch.slice(at, 256)
+                h, n = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])
+                ids += part.column(0).to_pylist()
+                hashes.append(h)
+                counts.append(n)
+                size += len(h) + len(n)
+                if size >= BLOCK:
+                    yield out()
+                    ids, hashes, counts, size, number = [], [], [], 0, number + 1
         if ids:
             yield out()
-        _WORDS.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ROW)
 
