@@ -8,8 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Spark's setting by which a query's shuffle files go when it ends, rather than when the driver's garbage is collected.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: a query's shuffle files go when it ends, rather than when the driver's garbage is collected, and
+#: what goes to a Python worker at once is small, so that long texts fit in its memory.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 _WRITTEN: dict[int, list[str]] = {}
 
 
@@ -31,12 +32,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/vecspark-tables/{uuid.uuid4().hex}-{name}"
-    was = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    was = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _WRITTEN.setdefault(id(spark.sparkContext), []).append(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # broadcasts and checkpoints that nothing refers to any more go as well
