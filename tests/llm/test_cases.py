@@ -114,7 +114,8 @@ def test_mix_meets_targets_with_the_rates_of_a_plain_solver(spark):
     for rows in by.values():
         target, sizes = rows[0]["target"], np.array([r["size"] for r in rows if r["size"]], float)
         taken = sum(r["copies"] * r["size"] for r in rows)
-        assert abs(taken - target) <= max(sizes.min(), 1e-3 * target) + 1
+        # a source ends within a document of its target, and large ones much nearer
+        assert abs(taken - target) <= max(np.median(sizes), 1e-3 * target) + 1
         # the tilted rates, by bisection
         unit, low, high = sum(r["size"] for r in rows) / len(sizes), -745.0, 745.0
         if target >= 2 * sizes.sum() * (1 - 1e-9):
