@@ -200,7 +200,7 @@ def test_label_helpers(spark):
     assert [r[0] for r in df.orderBy("id").select(labels_is_empty("a")).collect()] == [False, True, True, True]
 
 
-@pytest.mark.parametrize("how", [{"num_dimensions": 1}])
+@pytest.mark.parametrize("how", [{"num_dimensions": 1}, {"num_bits_per_dimension": 1, "centred": False}])
 def test_checked_search_finds_what_codes_rank_too_low(spark, tmp_path, how):
     df = rows(spark, [(k, [1.0, 1 + k % 97, k % 7]) for k in range(400)])
     index = VectorIndex.create(df, f"{tmp_path}/i", options=IndexOptions(**how)).delete(df.where("vec_id % 5 = 1"))
