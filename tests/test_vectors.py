@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vecspark import sql as vector_sql
 from vecspark.functions import cosine, hamming, l2, labels_contain_intersection, labels_normalize, labels_overlap, neg_inner_product, normalize
 from vecspark.operators import VectorIndex, exact, graph, sbq
+from vecspark.operators.shard import Shard
 from vecspark.options import IndexOptions, Metric, SearchOptions
 
 
@@ -264,3 +265,20 @@ def test_search_takes_the_candidates_that_a_recall_needs(spark, tmp_path, monkey
 
     assert recall() < 0.9 <= recall(recall=0.9)
     assert index.candidates_for(0.5) < index.candidates_for(0.9)
+
+
+@pytest.mark.parametrize("trained", [True, False])
+def test_shards_grow_many_rows_at_once(trained, monkeypatch):
+    v = np.random.default_rng(6).normal(size=(900, 16)).astype(np.float32)
+    meta = {"metric": 0, "layout": 2, "dims": 16, "indexed": 16, "bits": 2, "neighbors": 10, "list_size": 40, "max_alpha": 1.2, "labelled": False}
+    meta |= {"mean": [0.0] * 16, "std": [0.25 if trained else None] * 16}
+    none = [frozenset()] * 900
+    monkeypatch.setattr(graph.Search, "settle", None)  # no search for each row
+    first, _ = Shard.empty(0, meta).grown(np.arange(900), v, none)
+    more, replaced = first.grown(np.arange(800, 1000), -v[:200], none[:200])
+    monkeypatch.undo()
+    assert (first.n, more.n, replaced, int(more.deleted.sum())) == (900, 1100, 100, 100)
+    g = more.graph()
+    assert g.reachable() == 1100 and max(map(len, more.links.lists())) <= 10
+    nodes = more.found(g, v[0].astype(float), 2**31, 100, None, None)[0]
+    assert sorted(more.keys[nodes].tolist()) == list(range(1000))
