@@ -359,3 +359,13 @@ def test_token_counts_line_by_line(spark):
         for k, (x, y) in enumerate(lines):
             want[doc_id, k, x, y, counts[k], len(offsets)] += 1
     assert got == want
+
+
+def test_scoring_packs_what_repeats():
+    rng = np.random.default_rng(2)
+    which = np.minimum(rng.zipf(1.3, 20_000), 500) - 1
+    for x in (rng.integers(0, 1 << 63, 500).astype(np.uint64)[which], rng.random(500)[which], rng.random(50), np.empty(0)):
+        assert (scoring._unpack(scoring._pack_coded(x), x.dtype) == x).all()
+    assert len(scoring._pack_coded(rng.random(500)[which])) < 2.5 * len(which)
+    counts = which.astype(np.uint32)
+    assert (scoring._unpack(scoring._pack(counts), np.uint32) == counts).all() and len(scoring._pack(counts)) < 1.5 * len(counts)

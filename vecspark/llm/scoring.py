@@ -58,18 +58,36 @@ def held_out(doc_id: int | None, folds: int = 10) -> bool:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """First bytes of all numbers first, then the second ones: small numbers then compress well."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
+    """First bytes of all numbers first, then the second ones, compressed: small numbers then take few bits. After a mark and the size."""
+    if not len(x):
+        return b""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return b"\0" + len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _pack_coded(x: np.ndarray) -> bytes:
+    """As ``_pack``, of numbers of eight bytes that repeat: the distinct ones, and which of them each is, where that is shorter."""
+    one, number = np.unique(np.ascontiguousarray(x).view(np.uint64), return_inverse=True)
+    if 4 * len(one) > 3 * len(x):
+        return _pack(x)
+    head = _pack(one)
+    return b"\1" + len(head).to_bytes(8, "little") + head + _pack(number.astype(np.uint32))
 
 
 def _unpack(blob: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+    if not blob:
+        return np.empty(0, kind)
+    size = int.from_bytes(blob[1:9], "little")
+    if blob[0]:
+        return _unpack(blob[9 : 9 + size], kind)[_unpack(blob[9 + size :], np.uint32)]
+    planes = np.frombuffer(pa.decompress(blob[9:], size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    """Rows (kind, block, level, part, n, arrays...)."""
-    columns = list(zip(*((*r[:5], *(_pack(x) for x in r[5:]), *[None] * (11 - len(r))) for r in rows), strict=True)) or [()] * 11
+    """Rows (kind, block, level, part, n, arrays...); arrays that are packed already stay as they are."""
+    packed = ((*r[:5], *(x if isinstance(x, bytes) else _pack(x) for x in r[5:]), *[None] * (11 - len(r))) for r in rows)
+    columns = list(zip(*packed, strict=True)) or [()] * 11
     names = [x.split()[0] for x in _ROW.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=names)
 
@@ -148,6 +166,8 @@ class _Block:
         self.ids, self.place = _unpack(row["d"], np.int64), _unpack(row["e"], np.uint32)
         held = [held_out(None if n & 1 else i) for i, n in zip(self.ids.tolist(), self.place.tolist(), strict=True)]
         self.train = ~np.repeat(np.array(held, bool), self.lengths)
+        #: numbers of the words that all blocks share, where they are known: smaller than hashes
+        self.codes = self.words
         self.first = np.repeat((np.cumsum(self.lengths) - self.lengths).astype(np.int32), self.lengths)
         self.at = np.arange(len(self.t), dtype=np.int32)
         self.hash = np.zeros(len(self.t), np.uint64)
@@ -156,10 +176,11 @@ class _Block:
         #: how often what stands here followed the context so far, in training texts; many where that was not asked
         self.before = np.full(len(self.t), MANY)
         if row["f"]:
-            n = len(row["f"]) // 13
-            self.at = _unpack(row["f"][: 4 * n], np.uint32).view(np.int32)
-            self.p[self.at] = _unpack(row["f"][4 * n : 12 * n], float)
-            self.before[self.at] = np.where(np.frombuffer(row["f"], np.uint8)[12 * n :], LEAST, 0)
+            state = _unpack(row["f"], np.uint8)
+            n = len(state) // 13
+            self.at = state[: 4 * n].view(np.int32)
+            self.p[self.at] = state[4 * n : 12 * n].copy().view(float)
+            self.before[self.at] = np.where(state[12 * n :], LEAST, 0)
             self.hash = np.zeros(n, np.uint64)
             for k in range(1, self.level + 1):
                 self.hash = _longer(self.hash, self.words[self.t[self.at - k]])
@@ -176,7 +197,7 @@ class _Block:
         number = np.zeros(len(self.words), np.uint32)
         number[some] = np.arange(len(some))
         often = (self.before[self.at] >= LEAST).astype(np.uint8)
-        state = np.frombuffer(_pack(moved[self.at].astype(np.uint32)) + _pack(self.p[self.at]) + _pack(often), np.uint8)
+        state = np.concatenate([moved[self.at].astype(np.uint32).view(np.uint8), self.p[self.at].view(np.uint8), often])
         arrays = (self.words[some], number[self.t[inside]], self.lengths[keep].astype(np.uint32), self.ids[keep], self.place[keep], state)
         return (TOKENS, self.number, self.level, 0, 0, *arrays)
 
@@ -199,8 +220,8 @@ class _Block:
         pair_context = self.context[listed][place]
         counts = np.bincount(number, weights=self.train[self.at[listed]], minlength=len(place)).astype(np.uint32)
         unsent = np.bincount(self.context[~listed], weights=self.train[self.at[~listed]], minlength=len(one)).astype(np.uint32)
-        # contexts in the order of the tasks that they go to; pairs by context
-        self.order = np.argsort(_to(context_hash), kind="stable")
+        # contexts in the order of their hashes, so of the tasks that they go to; pairs by context
+        self.order = np.argsort(context_hash)
         rank = np.empty(len(one), np.int32)
         rank[self.order] = np.arange(len(one))
         by = np.argsort(rank[pair_context], kind="stable")
@@ -212,7 +233,7 @@ class _Block:
         some = self.at[listed][place][by]
         # on the first level a word's count stands for its probability
         so_far = self.before[some].astype(np.uint64) if n == 1 else self.p[some]
-        return context_hash[self.order], sizes, unsent[self.order], self.words[self.t[some]], counts[by], so_far
+        return context_hash[self.order], sizes, unsent[self.order], self.codes[self.t[some]], counts[by], so_far
 
     def hear(self, own: np.ndarray, seen: np.ndarray, rest: np.ndarray, flags: np.ndarray) -> None:
         """Answers: how often each pair sent was seen, if often enough; of each context all tokens, those not listed, and whether it
@@ -248,7 +269,8 @@ def _questions(block: _Block, parts: int) -> pa.RecordBatch:
     rows = []
     for a, b in zip(starts, [*starts[1:], len(to)], strict=True) if starts else ():
         x, y = ends[a], ends[b]
-        rows.append((QUESTION, block.number, block.level, int(to[a]), 0, context[a:b], sizes[a:b], unsent[a:b], word[x:y], count[x:y], so_far[x:y]))
+        arrays = (context[a:b], sizes[a:b], unsent[a:b], _pack_coded(word[x:y]), count[x:y], _pack_coded(so_far[x:y]))
+        rows.append((QUESTION, block.number, block.level, int(to[a]), 0, *arrays))
     return _rows(rows)
 
 
@@ -310,18 +332,26 @@ def _tested(of: np.ndarray, c: np.ndarray, p: np.ndarray, seen: np.ndarray, need
     return (state + 2 * on).astype(np.uint8), rest
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Questions about words are answered with their counts in training texts; and how many have any."""
-    got = [r for b in batches for r in b.to_pylist()]
-    if got:
-        words = [_unpack(r["a"], np.uint64) for r in got]
-        some, number = _unique(np.concatenate(words))
-        counts = np.bincount(number, weights=np.concatenate([_unpack(r["b"], np.uint32) for r in got])).astype(np.int64)
-        yield _rows([(COUNT, 0, 0, 0, int((counts > 0).sum()))])
-        at = 0
-        for r, w in zip(got, words, strict=True):
-            yield _rows([(ANSWER, r["block"], 0, r["part"], 0, counts[number[at : at + len(w)]])])
-            at += len(w)
+def _count_words(parts: int):
+    """Questions about words are answered with their counts in training texts and a number of each, small for frequent ones; and how
+    many have any count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for b in batches for r in b.to_pylist()]
+        if got:
+            words = [_unpack(r["a"], np.uint64) for r in got]
+            some, number = _unique(np.concatenate(words))
+            counts = np.bincount(number, weights=np.concatenate([_unpack(r["b"], np.uint32) for r in got])).astype(np.int64)
+            codes = np.empty(len(some), np.uint64)
+            codes[np.argsort(-counts, kind="stable")] = np.arange(len(some)) * parts + got[0]["part"]
+            yield _rows([(COUNT, 0, 0, 0, int((counts > 0).sum()))])
+            at = 0
+            for r, w in zip(got, words, strict=True):
+                mine = number[at : at + len(w)]
+                yield _rows([(ANSWER, r["block"], 0, r["part"], 0, counts[mine], codes[mine])])
+                at += len(w)
+
+    return run
 
 
 def _ask_words(parts: int):
@@ -355,8 +385,10 @@ def _advance(level: int, parts: int, total: int, kinds: int, what: str):
         started, fresh = np.zeros(len(block.t), bool), block.level == 0
         started[block.at] = True
         if fresh:
-            counts = np.empty(len(block.words), np.int64)
-            counts[np.argsort(block.words)] = read(by[0], "a", np.int64)
+            counts, by_word = np.empty(len(block.words), np.int64), np.argsort(block.words)
+            counts[by_word] = read(by[0], "a", np.int64)
+            block.codes = np.empty(len(block.words), np.uint64)
+            block.codes[by_word] = read(by[0], "b", np.uint64)
             block.before = counts[block.t]
             block.p = (block.before + ADD) / scale
             known, base = block.before > 0, np.log10(block.p)
@@ -405,7 +437,7 @@ def _sent(block: _Block, parts: int) -> pa.RecordBatch:
     word, p, place, train = block.words[block.t[at]], block.p[at], block.place[doc], block.train[at].astype(np.uint8)
     to = _to(h) * parts >> 24
     starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist()
-    cut = lambda a, b: (h[a:b], word[a:b], p[a:b], place[a:b], train[a:b], history[a:b].ravel())
+    cut = lambda a, b: (h[a:b], _pack_coded(word[a:b]), p[a:b], place[a:b], train[a:b], _pack_coded(history[a:b].ravel()))
     return _rows([(QUESTION, block.number, 0, int(to[a]), 0, *cut(a, b)) for a, b in zip(starts, [*starts[1:], len(to)], strict=True)])
 
 
@@ -487,7 +519,7 @@ def score(docs: DataFrame) -> DataFrame:
         dealt = together.repartitionById(tasks, place).sortWithinPartitions("block", "kind")
         return dealt.mapInArrow(_advance(level, parts, total, kinds, what), _ROW)
 
-    answers = [exchanged(first.mapInArrow(_ask_words(parts), _ROW), _count_words, "counts")]
+    answers = [exchanged(first.mapInArrow(_ask_words(parts), _ROW), _count_words(parts), "counts")]
     kinds = int(answers[0].where(F.col("kind") == COUNT).agg(F.sum("n")).first()[0] or 0)
     for level in range(1, BY_BLOCK):
         answers.append(exchanged(advanced(level, kinds, "ask", first, *answers), _judge(level, total, kinds), "answers"))
