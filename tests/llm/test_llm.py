@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -303,6 +304,16 @@ def test_token_counts(docs, odd, empty):
     assert counting.count_by_line(empty).count() == 0
 
 
+def test_encoding_keeps_nothing_of_a_text():
+    pieces = tokens.Pieces(tokens.default_path())
+    pieces.many(["a text"])
+    tracemalloc.start()
+    assert len(pieces.many([" ".join(f"w{k}x" for k in range(at, at + 1000)) for at in range(0, 50_000, 1000)])) == 50
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1 << 20
+
+
 def test_odd_white_space_is_encoded_whole():
     pieces = tokens.Pieces(tokens.default_path())
     texts = [" a\tb", "col1\tcol2 ", "a\u00a0b c", "a\tb \nc", "a\tb\n", "a b\nc"]
