@@ -369,3 +369,21 @@ def test_scoring_packs_what_repeats():
     assert len(scoring._pack_coded(rng.random(500)[which])) < 2.5 * len(which)
     counts = which.astype(np.uint32)
     assert (scoring._unpack(scoring._pack(counts), np.uint32) == counts).all() and len(scoring._pack(counts)) < 1.5 * len(counts)
+
+
+def test_parities_part_what_all_orders_agree_on(spark):
+    rng = np.random.default_rng(5)
+    for n, m, both in ((40, 45, 38), (300, 280, 150), (1000, 1030, 900), (7, 3000, 5), (1, 1, 1)):
+        tokens = np.unique(rng.integers(0, 1 << 63, n + m - both, np.uint64))
+        a, b = np.sort(tokens[:n]), np.sort(tokens[n - both :])
+        assert jaccard.apart(jaccard.parities(a), jaccard.parities(b)) <= n + m - 2 * both
+        assert jaccard.apart(jaccard.parities(b), jaccard.parities(b.copy())) == 0
+    # pairs of 60 % and of just 80 % (800 of 1000): all share prefix tokens under all orders
+    sets, pairs = [], []
+    for k, both in enumerate([675] * 4 + [800] * 4):
+        tokens = rng.permutation(np.unique(rng.integers(0, 1 << 63, 1800 - both, np.uint64)))
+        sets += [(2 * k, np.sort(tokens[:900]).tobytes()), (2 * k + 1, np.sort(tokens[900 - both :]).tobytes())]
+        pairs.append((2 * k, 2 * k + 1))
+    none = spark.sparkContext.broadcast((np.empty(0, np.uint64), np.empty(0, np.int64)))
+    found = jaccard._agreed(spark.createDataFrame(pairs, "u long, v long"), spark.createDataFrame(sets, "id long, set binary"), none, 80)
+    assert sorted(map(tuple, found.collect())) == pairs[4:]
