@@ -387,3 +387,20 @@ def test_parities_part_what_all_orders_agree_on(spark):
     none = spark.sparkContext.broadcast((np.empty(0, np.uint64), np.empty(0, np.int64)))
     found = jaccard._agreed(spark.createDataFrame(pairs, "u long, v long"), spark.createDataFrame(sets, "id long, set binary"), none, 80)
     assert sorted(map(tuple, found.collect())) == pairs[4:]
+
+
+def test_scoring_asks_by_numbers_of_words(spark):
+    # what blocks ask and keep names words by small numbers: hashes of eight bytes, which do not compress, took most of it
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(k, " ".join(words[j] for j in rng.zipf(1.3, 400) % 3000)) for k in range(200)]
+    first = scoring._tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(r["kind"] for r in first) == [scoring.TOKENS, scoring.WORDS]
+    tokens, seen = sorted((r.asDict() for r in first), key=lambda r: r["kind"])
+    hashes, counts = scoring._unpack(seen["a"], np.uint64), scoring._unpack(seen["b"], np.uint32)
+    block = scoring._Block(tokens)
+    block.named(counts.astype(np.int64), 1 + np.argsort(np.argsort(-counts.astype(np.int64), kind="stable")).astype(np.uint64))
+    assert sorted(block.words.tolist()) == list(range(1, len(hashes) + 1))
+    block.p = np.ones(len(block.t))
+    asked = scoring._questions(block, 1).to_pylist()[0]
+    assert len(asked["a"]) + len(asked["d"]) < 2.5 * (len(scoring._unpack(asked["a"], np.uint64)) + len(scoring._unpack(asked["d"], np.uint64)))

@@ -46,8 +46,8 @@ ADD = 0.1
 _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 MANY = 1 << 40
-#: Kinds of rows: a block of tokens, answers to it, questions, results of documents, and a count.
-TOKENS, ANSWER, QUESTION, DONE, COUNT = range(5)
+#: Kinds of rows: a block of tokens, answers to it, questions, results of documents, a count, and a block's words.
+TOKENS, ANSWER, QUESTION, DONE, COUNT, WORDS = range(6)
 _ROW = "kind int, block long, level int, part long, n long, a binary, b binary, c binary, d binary, e binary, f binary"
 _KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
 
@@ -58,11 +58,18 @@ def held_out(doc_id: int | None, folds: int = 10) -> bool:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """First bytes of all numbers first, then the second ones, compressed: small numbers then take few bits. After a mark and the size."""
+    """First bytes of all numbers first, then the second ones, up to the last that any needs, compressed. After a mark, how many bytes
+    each number has here, and the size."""
     if not len(x):
         return b""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
-    return b"\0" + len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+    parts = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)
+    width = parts.shape[1]
+    if x.dtype.kind in "iu" and (x.dtype.kind == "u" or x.min() >= 0):
+        width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    planes = np.empty((width, len(x)), np.uint8)
+    for k in range(width):
+        planes[k] = parts[:, k]
+    return b"\0" + bytes([width]) + planes.size.to_bytes(8, "little") + pa.compress(planes.data, codec="zstd", asbytes=True)
 
 
 def _pack_coded(x: np.ndarray) -> bytes:
@@ -71,17 +78,21 @@ def _pack_coded(x: np.ndarray) -> bytes:
     if 4 * len(one) > 3 * len(x):
         return _pack(x)
     head = _pack(one)
-    return b"\1" + len(head).to_bytes(8, "little") + head + _pack(number.astype(np.uint32))
+    return b"\1\0" + len(head).to_bytes(8, "little") + head + _pack(number.astype(np.uint32))
 
 
 def _unpack(blob: bytes, kind) -> np.ndarray:
     if not blob:
         return np.empty(0, kind)
-    size = int.from_bytes(blob[1:9], "little")
+    width, size = blob[1], int.from_bytes(blob[2:10], "little")
     if blob[0]:
-        return _unpack(blob[9 : 9 + size], kind)[_unpack(blob[9 + size :], np.uint32)]
-    planes = np.frombuffer(pa.decompress(blob[9:], size, codec="zstd"), np.uint8)
-    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+        return _unpack(blob[10 : 10 + size], kind)[_unpack(blob[10 + size :], np.uint32)]
+    planes = np.frombuffer(pa.decompress(blob[10:], size, codec="zstd"), np.uint8).reshape(width, -1)
+    out = np.zeros(planes.shape[1], kind)
+    parts = out.view(np.uint8).reshape(len(out), -1)
+    for k in range(width):
+        parts[:, k] = planes[k]
+    return out
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -98,19 +109,36 @@ def _longer(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (h + word) * _STEP[1]
 
 
-def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of one of each value, number of each one's value), values in order."""
-    by = np.argsort(x)
+def _ordered(x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the order of the values, values in order) of numbers below ``top``. Sorting values with their places behind them is
+    several times as fast as sorting places."""
+    bits = max(1, len(x).bit_length())
+    if top.bit_length() + bits > 63:
+        by = np.argsort(x, kind="stable")
+        return by, x[by]
+    both = (x.astype(np.int64) << bits) | np.arange(len(x))
+    both.sort()
+    return both & ((1 << bits) - 1), both >> bits
+
+
+def _unique(x: np.ndarray, top: int = 1 << 64) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one of each value, number of each one's value), values in order; ``top``: what all are below."""
+    if top < 1 << 63:
+        by, values = _ordered(x, top)
+    else:
+        by = np.argsort(x)
+        values = x[by]
     new = np.ones(len(x), bool)
-    new[1:] = x[by[1:]] != x[by[:-1]]
+    new[1:] = values[1:] != values[:-1]
     number = np.empty(len(x), np.int32)
     number[by] = np.cumsum(new, dtype=np.int32) - 1
     return by[new], number
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
-    """Blocks of tokens: distinct words, the tokens as numbers of those, lengths of the texts, ids, and twice each text's number, plus
-    1 if the id is null. ``n``: training tokens."""
+    """Blocks of tokens: the order of the distinct words' hashes, the tokens as numbers of those words, lengths of the texts, ids, and
+    twice each text's number, plus 1 if the id is null. ``n``: training tokens. And for each block a row of WORDS: their hashes in
+    order, and counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
@@ -131,12 +159,14 @@ def _tokens(docs: DataFrame) -> DataFrame:
             by = np.argsort(-np.bincount(which), kind="stable")
             rank = np.empty(len(by), np.int64)
             rank[by] = np.arange(len(by))
-            one, which = one[by], rank[which]
+            counted = t[one]
+            which = rank[which]
             train = np.array([not held_out(i) for i in ids])
+            seen = np.bincount(which, weights=np.repeat(train, lengths), minlength=len(by))[rank].astype(np.uint32)
             held = np.array([0 if i is None else i for i in ids], np.int64)
             place = 2 * np.arange(len(ids), dtype=np.uint32) + np.array([i is None for i in ids])
-            arrays = (t[one], which.astype(np.uint32), lengths.astype(np.uint32), held, place.astype(np.uint32))
-            return _rows([(TOKENS, number, 0, 0, int(lengths[train].sum()), *arrays)])
+            arrays = (rank.astype(np.uint32), which.astype(np.uint32), lengths.astype(np.uint32), held, place.astype(np.uint32))
+            return _rows([(TOKENS, number, 0, 0, int(lengths[train].sum()), *arrays), (WORDS, number, 0, 0, 0, counted, seen)])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -160,14 +190,13 @@ class _Block:
 
     def __init__(self, row: dict) -> None:
         self.number, self.level = row["block"], row["level"]
+        #: numbers of the words that all blocks share; at first the places of the block's own ones in the order of their hashes
         self.words = _unpack(row["a"], np.uint64)
         self.t = _unpack(row["b"], np.uint32).view(np.int32)
         self.lengths = _unpack(row["c"], np.uint32).astype(np.int64)
         self.ids, self.place = _unpack(row["d"], np.int64), _unpack(row["e"], np.uint32)
         held = [held_out(None if n & 1 else i) for i, n in zip(self.ids.tolist(), self.place.tolist(), strict=True)]
         self.train = ~np.repeat(np.array(held, bool), self.lengths)
-        #: numbers of the words that all blocks share, where they are known: smaller than hashes
-        self.codes = self.words
         self.first = np.repeat((np.cumsum(self.lengths) - self.lengths).astype(np.int32), self.lengths)
         self.at = np.arange(len(self.t), dtype=np.int32)
         self.hash = np.zeros(len(self.t), np.uint64)
@@ -178,14 +207,22 @@ class _Block:
         if row["f"]:
             state = _unpack(row["f"], np.uint8)
             n = len(state) // 13
-            self.at = state[: 4 * n].view(np.int32)
-            self.p[self.at] = state[4 * n : 12 * n].copy().view(float)
+            whole = lambda x, kind: np.ascontiguousarray(x.reshape(-1, n).T).reshape(-1).view(kind)
+            self.at = np.cumsum(whole(state[: 4 * n], np.uint32)).astype(np.int32)
+            self.p[self.at] = whole(state[4 * n : 12 * n], float)
             self.before[self.at] = np.where(state[12 * n :], LEAST, 0)
             self.hash = np.zeros(n, np.uint64)
             for k in range(1, self.level + 1):
                 self.hash = _longer(self.hash, self.words[self.t[self.at - k]])
             self.context = _unique(self.hash)[1]
 
+    def named(self, counts: np.ndarray, codes: np.ndarray) -> None:
+        """Of the words, in the order of their hashes, counts in training texts and shared numbers."""
+        place = self.words
+        self.words, count = np.empty(len(place), np.uint64), np.empty(len(place), np.int64)
+        self.words[place], count[place] = codes, counts
+        self.before = count[self.t]
+
     def left(self) -> tuple:
         """The row of what is still open."""
         doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
@@ -197,13 +234,15 @@ class _Block:
         number = np.zeros(len(self.words), np.uint32)
         number[some] = np.arange(len(some))
         often = (self.before[self.at] >= LEAST).astype(np.uint8)
-        state = np.concatenate([moved[self.at].astype(np.uint32).view(np.uint8), self.p[self.at].view(np.uint8), often])
+        planes = lambda x: x.view(np.uint8).reshape(len(x), -1).T.ravel()
+        state = np.concatenate([planes(np.diff(moved[self.at], prepend=0).astype(np.uint32)), planes(self.p[self.at]), often])
         arrays = (self.words[some], number[self.t[inside]], self.lengths[keep].astype(np.uint32), self.ids[keep], self.place[keep], state)
         return (TOKENS, self.number, self.level, 0, 0, *arrays)
 
     def ask(self) -> tuple[np.ndarray, ...]:
-        """Go to contexts that are a word longer. (hash of each context, how many pairs of it are sent, unsent training tokens;
-        word of each pair sent, count in training, place of a token), ordered by task; what ``hear`` needs is kept."""
+        """Go to contexts that are a word longer. (hash of each context, its words from the last to the first, how many pairs of it are
+        sent, unsent training tokens; word of each pair sent, count in training, place of a token), ordered by task; what ``hear`` needs
+        is kept."""
         self.level += 1
         n, size = self.level, len(self.words)
         keep = (self.at - n >= self.first[self.at])
@@ -211,29 +250,34 @@ class _Block:
         keep[keep] &= self.before[self.at[keep] - 1] >= LEAST
         self.at, self.context, self.hash = self.at[keep], self.context[keep], self.hash[keep]
         earlier = self.t[self.at - n]
-        one, self.context = _unique(earlier if n == 1 else self.context * np.int64(size) + earlier)
+        if n == 1:
+            one = np.full(size, -1)
+            one[earlier] = np.arange(len(earlier))
+            self.context = (np.cumsum(one >= 0, dtype=np.int32) - 1)[earlier]
+            one = one[one >= 0]
+        else:
+            key = self.context * np.int64(size) + earlier
+            one, self.context = _unique(key, int(key.max(initial=0)) + 1)
         context_hash = _longer(self.hash[one], self.words[earlier[one]])
         self.hash = context_hash[self.context]
-        listed = self.before[self.at] >= LEAST
-        place, number = _unique(self.context[listed] * np.int64(size) + self.t[self.at[listed]])
-        self.pair = np.full(len(self.at), -1, np.int32)
-        pair_context = self.context[listed][place]
-        counts = np.bincount(number, weights=self.train[self.at[listed]], minlength=len(place)).astype(np.uint32)
-        unsent = np.bincount(self.context[~listed], weights=self.train[self.at[~listed]], minlength=len(one)).astype(np.uint32)
         # contexts in the order of their hashes, so of the tasks that they go to; pairs by context
         self.order = np.argsort(context_hash)
         rank = np.empty(len(one), np.int32)
         rank[self.order] = np.arange(len(one))
-        by = np.argsort(rank[pair_context], kind="stable")
-        back = np.empty(len(by), np.int32)
-        back[by] = np.arange(len(by))
-        self.pair[listed] = back[number]
         self.context = rank[self.context]
-        sizes = np.bincount(rank[pair_context], minlength=len(one)).astype(np.uint32)
-        some = self.at[listed][place][by]
+        listed = self.before[self.at] >= LEAST
+        at, context = self.at[listed], self.context[listed]
+        place, number = _unique(context * np.int64(size) + self.t[at], len(one) * size + 1)
+        self.pair = np.full(len(self.at), -1, np.int32)
+        self.pair[listed] = number
+        counts = np.bincount(number, weights=self.train[at], minlength=len(place)).astype(np.uint32)
+        unsent = np.bincount(self.context[~listed], weights=self.train[self.at[~listed]], minlength=len(one)).astype(np.uint32)
+        sizes = np.bincount(context[place], minlength=len(one)).astype(np.uint32)
+        some, ends = at[place], self.at[one[self.order]]
         # on the first level a word's count stands for its probability
         so_far = self.before[some].astype(np.uint64) if n == 1 else self.p[some]
-        return context_hash[self.order], sizes, unsent[self.order], self.codes[self.t[some]], counts[by], so_far
+        words = np.stack([self.words[self.t[ends - k]] for k in range(1, n + 1)])
+        return context_hash[self.order], words, sizes, unsent, self.words[self.t[some]], counts, so_far
 
     def hear(self, own: np.ndarray, seen: np.ndarray, rest: np.ndarray, flags: np.ndarray) -> None:
         """Answers: how often each pair sent was seen, if often enough; of each context all tokens, those not listed, and whether it
@@ -262,14 +306,15 @@ def _to(h: np.ndarray) -> np.ndarray:
 
 def _questions(block: _Block, parts: int) -> pa.RecordBatch:
     """What a block asks, a row for each part."""
-    context, sizes, unsent, word, count, so_far = block.ask()
+    context, words, sizes, unsent, word, count, so_far = block.ask()
     to = _to(context) * parts >> 24
     ends = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
     starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist() if len(to) else []
     rows = []
     for a, b in zip(starts, [*starts[1:], len(to)], strict=True) if starts else ():
         x, y = ends[a], ends[b]
-        arrays = (context[a:b], sizes[a:b], unsent[a:b], _pack_coded(word[x:y]), count[x:y], _pack_coded(so_far[x:y]))
+        past = _pack_coded(so_far[x:y]) if block.level > 1 else so_far[x:y]
+        arrays = (words[:, a:b].ravel(), sizes[a:b], unsent[a:b], word[x:y], count[x:y], past)
         rows.append((QUESTION, block.number, block.level, int(to[a]), 0, *arrays))
     return _rows(rows)
 
@@ -283,7 +328,8 @@ def _judge(level: int, total: int, kinds: int):
         if not got:
             return
         read = lambda name, kind: [_unpack(r[name], kind) for r in got]
-        hashes, sizes, words, counts = read("a", np.uint64), read("b", np.uint32), read("d", np.uint64), read("e", np.uint32)
+        sizes, words, counts = read("b", np.uint32), read("d", np.uint64), read("e", np.uint32)
+        hashes = [reduce(_longer, x.reshape(level, -1), np.zeros(len(x) // level, np.uint64)) for x in read("a", np.uint64)]
         context_of = np.concatenate(hashes)
         one, context = _unique(context_of)
         n = len(one)
@@ -343,7 +389,7 @@ def _count_words(parts: int):
             some, number = _unique(np.concatenate(words))
             counts = np.bincount(number, weights=np.concatenate([_unpack(r["b"], np.uint32) for r in got])).astype(np.int64)
             codes = np.empty(len(some), np.uint64)
-            codes[np.argsort(-counts, kind="stable")] = np.arange(len(some)) * parts + got[0]["part"]
+            codes[np.argsort(-counts, kind="stable")] = np.arange(len(some)) * parts + got[0]["part"] + 1  # 0 stands for none
             yield _rows([(COUNT, 0, 0, 0, int((counts > 0).sum()))])
             at = 0
             for r, w in zip(got, words, strict=True):
@@ -358,14 +404,12 @@ def _ask_words(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                block = _Block(batch.slice(k, 1).to_pylist()[0])
-                counts = np.bincount(block.t, weights=block.train, minlength=len(block.words)).astype(np.uint32)
-                by = np.argsort(block.words)
-                words, counts = block.words[by], counts[by]
+                row = batch.slice(k, 1).to_pylist()[0]
+                words, counts = _unpack(row["a"], np.uint64), _unpack(row["b"], np.uint32)
                 to = _to(words) * parts >> 24
                 some = np.unique(to)
                 cuts = zip(some.tolist(), np.searchsorted(to, some).tolist(), np.searchsorted(to, some, "right").tolist(), strict=True)
-                yield _rows([(QUESTION, block.number, 0, p, 0, words[a:b], counts[a:b]) for p, a, b in cuts])
+                yield _rows([(QUESTION, row["block"], 0, p, 0, words[a:b], counts[a:b]) for p, a, b in cuts])
 
     return run
 
@@ -385,11 +429,7 @@ def _advance(level: int, parts: int, total: int, kinds: int, what: str):
         started, fresh = np.zeros(len(block.t), bool), block.level == 0
         started[block.at] = True
         if fresh:
-            counts, by_word = np.empty(len(block.words), np.int64), np.argsort(block.words)
-            counts[by_word] = read(by[0], "a", np.int64)
-            block.codes = np.empty(len(block.words), np.uint64)
-            block.codes[by_word] = read(by[0], "b", np.uint64)
-            block.before = counts[block.t]
+            block.named(read(by[0], "a", np.int64), read(by[0], "b", np.uint64))
             block.p = (block.before + ADD) / scale
             known, base = block.before > 0, np.log10(block.p)
         for n in range(block.level + 1, level):
@@ -437,7 +477,7 @@ def _sent(block: _Block, parts: int) -> pa.RecordBatch:
     word, p, place, train = block.words[block.t[at]], block.p[at], block.place[doc], block.train[at].astype(np.uint8)
     to = _to(h) * parts >> 24
     starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist()
-    cut = lambda a, b: (h[a:b], _pack_coded(word[a:b]), p[a:b], place[a:b], train[a:b], _pack_coded(history[a:b].ravel()))
+    cut = lambda a, b: (h[a:b], word[a:b], p[a:b], place[a:b], train[a:b], history[a:b].T.ravel())
     return _rows([(QUESTION, block.number, 0, int(to[a]), 0, *cut(a, b)) for a, b in zip(starts, [*starts[1:], len(to)], strict=True)])
 
 
@@ -451,7 +491,7 @@ def _finish(total: int):
             return
         read = lambda name, kind: np.concatenate([_unpack(r[name], kind) for r in got])
         h, word, p, train = read("a", np.uint64), read("b", np.uint64), read("c", float).copy(), read("e", np.uint8).astype(float)
-        history = read("f", np.uint64).reshape(len(h), -1)
+        history = np.concatenate([_unpack(r["f"], np.uint64).reshape(DEPTH - BY_BLOCK, -1).T for r in got])
         at = np.arange(len(h))
         for k in range(history.shape[1]):
             at = at[history[at, k] != 0]
@@ -501,7 +541,7 @@ def score(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     first = save(_tokens(docs), "tokens")
-    total, blocks = (int(x or 0) for x in first.agg(F.sum("n"), F.count(F.lit(1))).first())
+    total, blocks = (int(x or 0) for x in first.agg(F.sum("n"), F.count_if(F.col("kind") == TOKENS)).first())
     if not blocks:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     tasks = partitions_for(spark, blocks * BLOCK, PAIRS)
@@ -519,7 +559,10 @@ def score(docs: DataFrame) -> DataFrame:
         dealt = together.repartitionById(tasks, place).sortWithinPartitions("block", "kind")
         return dealt.mapInArrow(_advance(level, parts, total, kinds, what), _ROW)
 
-    answers = [exchanged(first.mapInArrow(_ask_words(parts), _ROW), _count_words(parts), "counts")]
+    answers = [exchanged(first.where(F.col("kind") == WORDS).mapInArrow(_ask_words(parts), _ROW), _count_words(parts), "counts")]
+    # hashes of words, half of the table, are of no more use
+    whole, first = first, save(first.where(F.col("kind") == TOKENS), "blocks")
+    discard(whole)
     kinds = int(answers[0].where(F.col("kind") == COUNT).agg(F.sum("n")).first()[0] or 0)
     for level in range(1, BY_BLOCK):
         answers.append(exchanged(advanced(level, kinds, "ask", first, *answers), _judge(level, total, kinds), "answers"))
