@@ -404,3 +404,19 @@ def test_scoring_asks_by_numbers_of_words(spark):
     block.p = np.ones(len(block.t))
     asked = scoring._questions(block, 1).to_pylist()[0]
     assert len(asked["a"]) + len(asked["d"]) < 2.5 * (len(scoring._unpack(asked["a"], np.uint64)) + len(scoring._unpack(asked["d"], np.uint64)))
+
+
+def test_jaccard_writes_few_files_under_many_partitions(spark):
+    # with a file for each shuffle partition, small tables took most of the time where a session has many partitions
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    most = 2 * spark.sparkContext.defaultParallelism
+    for k, v in zip(held, (str(3 * most), "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        rows = [(k, " ".join(f"w{(k // 2, j)}".replace(" ", "") for j in range(30)) + " end" * (k % 2)) for k in range(20 * most)]
+        _, classes, found = jaccard.links(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert len(classes.inputFiles()) <= most and len(found.inputFiles()) <= 3 * most
+        assert classes.count() == len(rows) and found.distinct().count() == len(rows) // 2
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
